@@ -16,13 +16,14 @@ BOILERPLATE = [
 #: Ends of a sentence, with a closing quote or bracket after it or not.
 SENTENCE_END = "[.!?…:;。！？][\"'”’»)\\]]*$"
 SYMBOLS = "[#*$%&|<>]"
+MARKS = "[#*$%&|<>»•]"
 BARE_WORDS = 30
 LINE_SYMBOLS = 0.2
 LOST_SHARE = 50
 
 
-def line_reason(line: Column, phrases: Column) -> Column:
-    """Why a line fails, or null; ``phrases`` tells whether its text has any phrase of page furniture.
+def line_reason(line: Column, phrases: Column, symbols: Column) -> Column:
+    """Why a line fails, or null; ``phrases`` tells whether its text has any phrase of page furniture, ``symbols`` any symbol.
 
     navigation: three separators (``|``, ``>``, ``»``, ``•``) or more, at least one in three words;
     boilerplate: a phrase of page furniture; symbols: more than one in five words with a symbol of
@@ -33,12 +34,12 @@ def line_reason(line: Column, phrases: Column) -> Column:
     bars = F.regexp_count(line, F.lit("[|>»•]"))
     # A word is entered at its start only, so that the search is linear in very long words too.
     marks = F.regexp_count(line, F.lit(f"(?<![^{SPACE}])[^{SPACE}#*$%&|<>]*+{SYMBOLS}[^{SPACE}]*+"))
-    some = line.rlike("[#*$%&|<>»•]")
+    some = symbols & line.rlike(MARKS)
     low = F.lower(line)
     furniture = low.contains(BOILERPLATE[0])
     for x in BOILERPLATE[1:]:
         furniture = furniture | low.contains(x)
-    ends = F.right(F.rtrim(line), F.lit(8)).rlike(SENTENCE_END)
+    ends = line.endswith(".") | F.right(F.rtrim(line), F.lit(8)).rlike(SENTENCE_END)
     return (
         F.when(some & (bars >= 3) & (bars * 3 >= n), "navigation")
         .when(phrases & furniture, "boilerplate")
@@ -72,7 +73,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for x in BOILERPLATE[1:]:
         furniture = furniture | F.col("_low").contains(x)
     d = d.select(
-        "doc_id", "_t", "_w", "_l", furniture.alias("_furniture"), F.size("_w").cast("long").alias("n_words"),
+        "doc_id", "_t", "_w", "_l", furniture.alias("_furniture"), F.col("_t").rlike(MARKS).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
         F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"), _windows(F.col("_w")).alias("_h"),
     )
     d = d.withColumn("_some", F.size(F.array_distinct("_h")) < F.size("_h"))
@@ -84,7 +85,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3))))
     d = d.withColumn("n_repeat_words", F.when(F.col("_some"), F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")))
     # A column that a lambda reads from outside could be put in place and made anew for each element.
-    d = d.withColumn("_j", F.transform("_l", lambda x: F.struct(x.alias("x"), line_reason(x, F.col("_furniture")).alias("why"))))
+    d = d.withColumn("_j", F.transform("_l", lambda x: F.struct(x.alias("x"), line_reason(x, F.col("_furniture"), F.col("_marked")).alias("why"))))
     line = lambda j: j["x"]
     bad = F.transform(F.filter("_j", lambda j: j["why"].isNotNull()), line)
     good = F.transform(F.filter("_j", lambda j: j["why"].isNull()), line)
