@@ -91,4 +91,4 @@ _ALL = [
     op7_packing, op8_mixing, op9_quality_rules, op10_language_id,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
+SQL = {**sql.SQL, "op8_mixing": sql.mixing(0.6, WEIGHTS, DOMAINS)}

@@ -58,3 +58,55 @@ c AS (SELECT *, CASE WHEN ok THEN regexp_replace(regexp_replace(host, '^(www|m)\
 bad AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|\.)spam-farm\.'))
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bad.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, c.canonical, bad.canonical IS NOT NULL AS listed
 FROM c LEFT JOIN m USING (page_id, url) LEFT JOIN bad ON c.canonical = bad.canonical"""
+
+_LINES = rf"""l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
+l AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, doc_id * 1000000 + line_no AS place, regexp_extract_all(x, '{_W}') AS w FROM l0),
+f AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM l WHERE len(w) > 0),
+u AS (SELECT s, min(place) AS place, any_value(w) AS w, any_value(n) AS n FROM f GROUP BY s),
+v AS (SELECT place, 0 AS gap, s AS v FROM u WHERE n >= 5 UNION ALL
+  SELECT place, i, array_to_string(list_concat(w[1:i-1], w[i+1:]), ' ') FROM (SELECT place, w, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 5)),
+e AS (SELECT DISTINCT a.place FROM v a JOIN v b ON a.v = b.v AND b.place < a.place AND (a.gap = b.gap AND a.gap > 0 OR a.gap = 0 AND b.gap > 0 OR a.gap > 0 AND b.gap = 0)),
+k AS (SELECT f.doc_id, f.line_no, e.place IS NULL AS kept FROM f JOIN u ON f.place = u.place LEFT JOIN e ON e.place = f.place),
+g AS (SELECT doc_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_edited, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (kept) AS kept_lines FROM k GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1)"""
+SQL["op1_line_dedup"] = f"""WITH {_LINES}
+SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(n_edited, 0) AS n_edited,
+  coalesce(c.n, 0) - coalesce(n_kept, 0) - coalesce(n_edited, 0) AS n_repeated, coalesce(kept_lines, '') AS kept_lines
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, {5 * k + 1}, 5) AS INTEGER) >> {s}) & 31) + 1 AS BIGINT), 1)" for k in range(8) for s in (15, 10, 5, 0))
+SQL["op6_warc"] = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, payload_bytes, {_B32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
+
+
+def _weights(of: str, weights: dict[str, int]) -> str:
+    cases = " ".join(f"WHEN {of} = '{k}' THEN {v}" for k, v in weights.items() if k != "*")
+    return f"CASE {cases} ELSE {weights.get('*', 1)} END"
+
+
+def _share(name: str, source: str, parent: list[str], level: str, weights: dict[str, int]) -> str:
+    part = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    by = f"({part} ORDER BY CAST(cap AS DOUBLE) / w, {level}"
+    return f"""{name}0 AS (SELECT *, {_weights(level, weights)} AS w FROM {source}),
+{name}1 AS (SELECT *, coalesce(sum(cap) OVER {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(w) OVER {by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM {name}0 WHERE w > 0),
+{name}2 AS (SELECT *, CAST(cap AS HUGEINT) * wr <= CAST(w AS HUGEINT) * (budget - bef) AS isfull FROM {name}1),
+{name} AS (SELECT *, CAST(CASE WHEN isfull THEN cap ELSE (CAST(w AS HUGEINT) * max(CASE WHEN NOT isfull THEN budget - bef END) OVER ({part})) // max(CASE WHEN NOT isfull THEN wr END) OVER ({part}) END AS BIGINT) AS alloc FROM {name}2)"""
+
+
+def mixing(share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, epochs: int = 2) -> str:
+    domain = f"CASE {' '.join(f'''WHEN coalesce(source, 'unknown') = '{k}' THEN '{v}' ''' for k, v in domains.items())} ELSE 'other' END"
+    a = _share("a", "a_in", [], "domain", weights["domain"])
+    b = _share("b", "b_in", ["domain"], "lang", weights["lang"])
+    c = _share("c", "c_in", ["domain", "lang"], "source", weights["source"])
+    return f"""WITH d AS (SELECT doc_id, {domain} AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS lt, sum(n_tokens) * {epochs} AS cap FROM d WHERE n_tokens > 0 GROUP BY ALL),
+total AS (SELECT CAST(floor(sum(lt) * CAST({share} AS DOUBLE)) AS BIGINT) AS b, sum(cap) AS c FROM leaf),
+a_in AS (SELECT domain, sum(cap) AS cap, any_value(least(b, c)) AS budget FROM leaf, total GROUP BY 1), {a},
+b_in AS (SELECT l.domain, l.lang, sum(l.cap) AS cap, any_value(a.alloc) AS budget FROM leaf l JOIN a USING (domain) GROUP BY 1, 2), {b},
+c_in AS (SELECT l.domain, l.lang, l.source, l.cap, b.alloc AS budget FROM leaf l JOIN b USING (domain, lang)), {c},
+t AS (SELECT d.*, c.alloc, leaf.lt, unnest(range({epochs})) AS epoch FROM d JOIN c USING (domain, lang, source) JOIN leaf USING (domain, lang, source) WHERE n_tokens > 0),
+o AS (SELECT *, epoch * lt + coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('{seed}:' || epoch || ':' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(least(n_tokens, alloc - s) AS BIGINT) AS take_tokens FROM o WHERE s < alloc"""
