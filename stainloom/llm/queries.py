@@ -12,6 +12,7 @@ from stainloom.llm.exact_dedup import exact_dedup
 from stainloom.llm.language import fit, language_id
 from stainloom.llm.licenses import license_scan
 from stainloom.llm.mixing import mix
+from stainloom.llm.near_dedup import near_dedup
 from stainloom.llm.packing import pack
 from stainloom.llm.quality import quality_rules
 from stainloom.llm.urls import host_of, url_filter
@@ -45,6 +46,10 @@ def op4_url_filter(spark, sf_dir):
     return url_filter(pages, listed, URL_RULES)
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -87,7 +92,7 @@ def op10_language_id(spark, sf_dir):
 
 
 _ALL = [
-    op1_line_dedup, op2_exact_dedup, op3_license_scan, op4_url_filter, op6_warc,
+    op1_line_dedup, op2_exact_dedup, op3_license_scan, op4_url_filter, op5_near_dedup, op6_warc,
     op7_packing, op8_mixing, op9_quality_rules, op10_language_id,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
