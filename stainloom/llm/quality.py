@@ -55,6 +55,15 @@ def _windows(words: Column) -> Column:
     return F.transform(F.slice(three, 1, F.greatest(n - 2, F.lit(0))), lambda x: F.xxhash64(x))
 
 
+def fenced(c: Column) -> Column:
+    """The same value, which the optimizer will not put in place of its name.
+
+    A later filter or a pruned column can leave one use of an array inside a lambda. Put in place
+    there, it would be made anew for each element.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Judges every whole text; one row for each row of docs, none of them merged.
 
@@ -68,24 +77,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Windows are compared by 64-bit hash, sorted with their places, in n log n steps.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    d = d.select("doc_id", "_t", words_of(F.col("_t")).alias("_w"), F.split("_t", "\n", -1).alias("_l"), F.lower("_t").alias("_low"))
+    d = d.select("doc_id", "_t", fenced(words_of(F.col("_t"))).alias("_w"), fenced(F.split("_t", "\n", -1)).alias("_l"), F.lower("_t").alias("_low"))
     furniture = F.col("_low").contains(BOILERPLATE[0])
     for x in BOILERPLATE[1:]:
         furniture = furniture | F.col("_low").contains(x)
     d = d.select(
-        "doc_id", "_t", "_w", "_l", furniture.alias("_furniture"), F.col("_t").rlike(MARKS).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
-        F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"), _windows(F.col("_w")).alias("_h"),
+        "doc_id", "_t", "_w", "_l", fenced(furniture).alias("_furniture"), fenced(F.col("_t").rlike(MARKS)).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
+        F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"), fenced(_windows(F.col("_w"))).alias("_h"),
     )
     d = d.withColumn("_some", F.size(F.array_distinct("_h")) < F.size("_h"))
     # Windows by hash, then those with an equal neighbour, by place.
-    d = d.withColumn("_s", F.when(F.col("_some"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    d = d.withColumn("_s", fenced(F.when(F.col("_some"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))))
     like = lambda x, i: F.coalesce(F.get("_s", i)["h"] == x["h"], F.lit(False))
     at = F.transform("_s", lambda x, i: F.when((i > 0) & like(x, i - 1) | like(x, i + 1), x["i"]))
-    d = d.withColumn("_p", F.when(F.col("_some"), F.array_sort(F.array_compact(at))))
+    d = d.withColumn("_p", fenced(F.when(F.col("_some"), F.array_sort(F.array_compact(at)))))
     reach = F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3))))
     d = d.withColumn("n_repeat_words", F.when(F.col("_some"), F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")))
-    # A column that a lambda reads from outside could be put in place and made anew for each element.
-    d = d.withColumn("_j", F.transform("_l", lambda x: F.struct(x.alias("x"), line_reason(x, F.col("_furniture"), F.col("_marked")).alias("why"))))
+    d = d.withColumn("_j", fenced(F.transform("_l", lambda x: F.struct(x.alias("x"), line_reason(x, F.col("_furniture"), F.col("_marked")).alias("why")))))
     line = lambda j: j["x"]
     bad = F.transform(F.filter("_j", lambda j: j["why"].isNotNull()), line)
     good = F.transform(F.filter("_j", lambda j: j["why"].isNull()), line)
@@ -99,4 +107,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.size("_bad").cast("long").alias("n_lines_removed"), "words_removed", "clean_text",
     )
-    return d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("words_removed") <= LOST_SHARE * F.col("n_words")))
+    return d.withColumn("kept", fenced(~F.col("base_failed") & (100 * F.col("words_removed") <= LOST_SHARE * F.col("n_words"))))
