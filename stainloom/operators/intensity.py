@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,10 @@ def statistics(pixels: DataFrame, keys: list[str], gray: str = "gray") -> DataFr
             (F.col("_q")[2] - F.col("_q")[0]).alias("iqr_intensity"), "skewness_intensity", "kurtosis_intensity",
         )
     )
+
+
+def entropy(pixels: DataFrame, keys: list[str], gray: str = "gray") -> DataFrame:
+    """Entropy in bits of the density over 256 bins of [0, 255]; it may be negative, as bins are narrower than 1."""
+    counts = pixels.groupBy(*keys, gray).agg(F.count("*").alias("n"))
+    d = F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) * 255 / 256)
+    return counts.select(*keys, d.alias("d")).groupBy(*keys).agg((-F.sum(F.col("d") * F.log2("d"))).alias("entropy_intensity"))

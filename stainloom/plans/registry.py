@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stainloom.operators import intensity
-from stainloom.plans.synth import TILE_SQL, tiles
+from stainloom.operators import intensity, morphology, regions, texture
+from stainloom.plans.synth import SIDE, TILE_SQL, tiles
 
 QUERIES = {}
 SQL = {}
@@ -43,3 +43,187 @@ FROM m JOIN c USING (tile, label)""",
 )
 def intensity_stats(spark, sf_dir):
     return rounded(intensity.statistics(tiles(spark, sf_dir).filter("label > 0"), ["tile", "label"]))
+
+
+def nuclei(spark, sf_dir):
+    """Pixels in labels."""
+    return tiles(spark, sf_dir).filter("label > 0")
+
+
+@query("tile_gray_hist", f"WITH {TILE_SQL} SELECT tile, gray, count(*) AS n FROM pixels GROUP BY ALL")
+def tile_gray_hist(spark, sf_dir):
+    return tiles(spark, sf_dir).groupBy("tile", "gray").agg(F.count("*").alias("n"))
+
+
+_BOXES = f"""box AS (SELECT *, greatest(r0-10,0) AS pr0, greatest(c0-10,0) AS pc0, least(r1+10,{SIDE - 1}) AS pr1, least(c1+10,{SIDE - 1}) AS pc1 FROM (
+  SELECT tile, label, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1, count(*) AS area FROM pixels WHERE label > 0 GROUP BY ALL))"""
+
+
+@query("region_bbox_padded", f"WITH {TILE_SQL}, {_BOXES} SELECT * FROM box")
+def region_bbox_padded(spark, sf_dir):
+    return regions.boxes(tiles(spark, sf_dir), SIDE)
+
+
+@query("area_centroid", f"WITH {TILE_SQL} SELECT tile, label, CAST(count(*) AS DOUBLE) AS area, round(avg(row),6)+0.0 AS centroid_row, round(avg(col),6)+0.0 AS centroid_col FROM pixels WHERE label > 0 GROUP BY ALL")
+def area_centroid(spark, sf_dir):
+    return rounded(morphology.centroids(tiles(spark, sf_dir)))
+
+
+_AXES = """mo AS (SELECT tile, label, var_pop(row) AS vr, var_pop(col) AS vc, covar_pop(row, col) AS vrc FROM pixels WHERE label > 0 GROUP BY ALL),
+ei AS (SELECT *, (vr+vc)/2 + sqrt((vc-vr)*(vc-vr)/4 + vrc*vrc) AS l1, greatest((vr+vc)/2 - sqrt((vc-vr)*(vc-vr)/4 + vrc*vrc), 0) AS l2 FROM mo)"""
+
+
+@query(
+    "axes_ecc_orient",
+    f"""WITH {TILE_SQL}, {_AXES} SELECT tile, label, round(4*sqrt(l1),6)+0.0 AS major_axis_length, round(4*sqrt(l2),6)+0.0 AS minor_axis_length,
+  CASE WHEN l1 <= 1e-12 THEN 0.0 ELSE round(sqrt(greatest(0, 1-l2/l1)),5)+0.0 END AS eccentricity,
+  abs(round(CASE WHEN abs(vr-vc) < 1e-9 THEN pi()/4 ELSE 0.5*atan2(2*vrc, vr-vc) END, 6))+0.0 AS orientation_size FROM ei""",
+)
+def axes_ecc_orient(spark, sf_dir):
+    """The size of the orientation, as its sign flips at rounding errors of symmetric shapes."""
+    df = morphology.axes(tiles(spark, sf_dir)).withColumn("eccentricity", F.round("eccentricity", 5))
+    return rounded(df.withColumn("orientation_size", F.abs(F.round("orientation", 6))).drop("orientation"))
+
+
+_PERIMETER = """bo AS (SELECT p.* FROM pixels p WHERE label > 0 AND (tile, row, col) NOT IN (
+  SELECT (a.tile, a.row, a.col) FROM pixels a JOIN pixels b ON a.tile = b.tile AND a.label = b.label AND a.row = b.row AND a.col = b.col + 1
+    JOIN pixels c ON a.tile = c.tile AND a.label = c.label AND a.row = c.row AND a.col = c.col - 1
+    JOIN pixels d ON a.tile = d.tile AND a.label = d.label AND a.col = d.col AND a.row = d.row + 1
+    JOIN pixels e ON a.tile = e.tile AND a.label = e.label AND a.col = e.col AND a.row = e.row - 1 WHERE a.label > 0)),
+cd AS (SELECT a.tile, a.label, a.row, a.col, 1 + coalesce(sum(CASE WHEN b.row = a.row OR b.col = a.col THEN 2 ELSE 10 END), 0) AS code
+  FROM bo a LEFT JOIN bo b ON a.tile = b.tile AND a.label = b.label AND abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY ALL),
+pe AS (SELECT tile, label, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1.0 WHEN code IN (21,33) THEN sqrt(2.0) WHEN code IN (13,23) THEN (1+sqrt(2.0))/2 ELSE 0.0 END) AS perimeter FROM cd GROUP BY ALL)"""
+
+
+@query("perimeter_lut", f"WITH {TILE_SQL}, {_PERIMETER} SELECT tile, label, round(perimeter,6)+0.0 AS perimeter FROM pe")
+def perimeter_lut(spark, sf_dir):
+    return rounded(morphology.perimeters(tiles(spark, sf_dir)))
+
+
+@query(
+    "euler_bitquads",
+    f"""WITH {TILE_SQL}, q AS (SELECT tile, label, row + d // 2 AS qr, col + d % 2 AS qc, sum(1 << d) AS bits, count(*) AS n FROM pixels, range(4) k(d) WHERE label > 0 GROUP BY ALL)
+SELECT tile, label, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4.0 AS euler_number FROM q GROUP BY ALL""",
+)
+def euler_bitquads(spark, sf_dir):
+    return morphology.euler_numbers(tiles(spark, sf_dir))
+
+
+@query(
+    "shape_ratios",
+    f"""WITH {TILE_SQL}, {_BOXES}, {_AXES}, {_PERIMETER} SELECT tile, label, round(sqrt(4*area/pi()),6)+0.0 AS equivalent_diameter, round(area/((r1-r0+1)*(c1-c0+1)),6)+0.0 AS extent,
+  CASE WHEN perimeter = 0 THEN 0.0 ELSE round(4*pi()*area/(perimeter*perimeter),6)+0.0 END AS circularity, CASE WHEN l2 <= 1e-12 THEN 0.0 ELSE round(sqrt(l1)/sqrt(l2),5)+0.0 END AS aspect_ratio,
+  CASE WHEN area > 1 AND perimeter > 0 THEN round(ln(perimeter)/ln(area),6)+0.0 ELSE 0.0 END AS fractal_dimension, round(perimeter*perimeter/area,6)+0.0 AS roughness
+FROM box JOIN ei USING (tile, label) JOIN pe USING (tile, label)""",
+)
+def shape_ratios(spark, sf_dir):
+    return rounded(morphology.ratios(tiles(spark, sf_dir), SIDE).withColumn("aspect_ratio", F.round("aspect_ratio", 5)))
+
+
+def _hu_sql(n: dict[str, str]) -> list[str]:
+    x, y, u, v = f"({n['30']}+{n['12']})", f"({n['21']}+{n['03']})", f"({n['30']}-3*{n['12']})", f"(3*{n['21']}-{n['03']})"
+    px, py, d = f"({x}*({x}*{x}-3*{y}*{y}))", f"({y}*(3*{x}*{x}-{y}*{y}))", f"({n['20']}-{n['02']})"
+    return [f"{n['20']}+{n['02']}", f"{d}*{d}+4*{n['11']}*{n['11']}", f"{u}*{u}+{v}*{v}", f"{x}*{x}+{y}*{y}", f"{u}*{px}+{v}*{py}", f"{d}*({x}*{x}-{y}*{y})+4*{n['11']}*{x}*{y}", f"{v}*{px}-{u}*{py}"]
+
+
+_HU = ("20", "02", "11", "30", "03", "12", "21")
+
+
+@query(
+    "hu_pipeline",
+    f"""WITH {TILE_SQL}, {_BOXES}, m AS (SELECT tile, label, any_value(area) AS area, {", ".join(f"CAST(max(CASE WHEN row-pr0 = {k[0]} AND col-pc0 = {k[1]} THEN 1 ELSE 0 END) AS DOUBLE) AS m{k}" for k in ("00", *_HU))}
+  FROM pixels JOIN box USING (tile, label) WHERE pr1-pr0 >= 3 AND pc1-pc0 >= 3 GROUP BY ALL)
+SELECT tile, label, {", ".join(f"CASE WHEN m00 = 1 AND area > 10 THEN {h} ELSE 0.0 END AS hu_moment_{i}" for i, h in enumerate(_hu_sql({k: f"m{k}" for k in _HU}), 1))} FROM m""",
+)
+def hu_pipeline(spark, sf_dir):
+    return morphology.hu_of_mask(tiles(spark, sf_dir), SIDE)
+
+
+@query(
+    "hu_true",
+    f"""WITH {TILE_SQL}, c AS (SELECT tile, label, avg(row) AS cr, avg(col) AS cc FROM pixels WHERE label > 0 GROUP BY ALL),
+m AS (SELECT tile, label, {", ".join(f"sum(power(col-cc,{k[0]})*power(row-cr,{k[1]}))/power(count(*),{(int(k[0]) + int(k[1])) / 2 + 1}) AS m{k}" for k in _HU)} FROM pixels JOIN c USING (tile, label) GROUP BY ALL)
+SELECT tile, label, {", ".join(f"round({h},8)+0.0 AS true_hu_{i}" for i, h in enumerate(_hu_sql({k: f"m{k}" for k in _HU}), 1))} FROM m""",
+)
+def hu_true(spark, sf_dir):
+    return rounded(morphology.hu_moments(tiles(spark, sf_dir)), digits=8)
+
+
+@query(
+    "intensity_entropy",
+    f"""WITH {TILE_SQL}, c AS (SELECT tile, label, gray, count(*) AS n FROM pixels WHERE label > 0 GROUP BY ALL),
+d AS (SELECT tile, label, n / ((sum(n) OVER (PARTITION BY tile, label)) * 255.0 / 256) AS d FROM c)
+SELECT tile, label, round(-sum(d*log2(d)),6)+0.0 AS entropy_intensity FROM d GROUP BY ALL""",
+)
+def intensity_entropy(spark, sf_dir):
+    return rounded(intensity.entropy(nuclei(spark, sf_dir), ["tile", "label"]))
+
+
+_PATCH = f"""{_BOXES}, pa AS (SELECT p.tile, b.label, p.row, p.col, p.label = b.label AS inside, CASE WHEN p.label = b.label THEN gray ELSE 0 END AS v, pr0, pc0, pr1, pc1
+  FROM pixels p JOIN box b ON p.tile = b.tile AND p.row BETWEEN pr0 AND pr1 AND p.col BETWEEN pc0 AND pc1)"""
+
+
+def _glcm_sql(offsets) -> str:
+    return f"""{_PATCH}, o(a, dr, dc) AS (VALUES {", ".join(map(str, offsets))}),
+pr AS (SELECT x.tile, x.label, a, x.v AS i, y.v AS j, count(*) AS n FROM pa x, o JOIN pa y ON y.tile = x.tile AND y.label = x.label AND y.row = x.row + dr AND y.col = x.col + dc GROUP BY ALL),
+sy AS (SELECT tile, label, a, i, j, sum(n) AS n FROM (SELECT * FROM pr UNION ALL SELECT tile, label, a, j, i, n FROM pr) GROUP BY ALL),
+no AS (SELECT tile, label, a, i, j, n / sum(n) OVER (PARTITION BY tile, label, a) AS p FROM sy),
+mu AS (SELECT tile, label, a, sum(p*i) AS m, sum(p*i*i) - sum(p*i)*sum(p*i) AS va, sum(p*i*j) - sum(p*i)*sum(p*i) AS cv, sum(p*(i-j)*(i-j)) AS con, sum(p*abs(i-j)) AS dis, sum(p/(1+(i-j)*(i-j))) AS hom, sum(p*p) AS asm FROM no GROUP BY ALL),
+lv AS (SELECT tile, label, count(DISTINCT v) AS k FROM pa WHERE v > 0 GROUP BY ALL)"""
+
+
+@query(
+    "glcm_props",
+    f"""WITH {TILE_SQL}, {_glcm_sql([(0, 0, 1), (45, 1, 1), (90, 1, 0), (135, 1, -1)])}
+SELECT tile, label, {", ".join(f"CASE WHEN any_value(k) >= 2 THEN round(avg({e}),5)+0.0 ELSE 0.0 END AS glcm_{n}" for n, e in (("contrast", "con"), ("dissimilarity", "dis"), ("homogeneity", "hom"), ("ASM", "asm"), ("energy", "sqrt(asm)"), ("correlation", "CASE WHEN va*va <= 1e-16 THEN 0 ELSE cv/va END")))}
+FROM mu LEFT JOIN lv USING (tile, label) GROUP BY ALL""",
+)
+def glcm_props(spark, sf_dir):
+    return rounded(texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE)), digits=5)
+
+
+@query(
+    "glcm_0deg",
+    f"""WITH {TILE_SQL}, {_glcm_sql([(0, 0, 1)])} SELECT tile, label, CASE WHEN k >= 2 THEN round(con,5)+0.0 ELSE 0.0 END AS contrast,
+  CASE WHEN k >= 2 AND va > 1e-12 THEN round(cv/va,5)+0.0 ELSE 0.0 END AS correlation, CASE WHEN k >= 2 THEN round(sqrt(asm),5)+0.0 ELSE 0.0 END AS energy, CASE WHEN k >= 2 THEN round(hom,5)+0.0 ELSE 0.0 END AS homogeneity
+FROM mu LEFT JOIN lv USING (tile, label)""",
+)
+def glcm_0deg(spark, sf_dir):
+    g = texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE), angles=(0,), guard=1e-24)
+    return rounded(g.select("tile", "label", *[F.col(f"glcm_{c}").alias(c) for c in ("contrast", "correlation", "energy", "homogeneity")]), digits=5)
+
+
+@query(
+    "nn_distance",
+    f"""WITH {TILE_SQL}, c AS (SELECT tile, label, avg(row) AS y, avg(col) AS x FROM pixels WHERE label > 0 GROUP BY ALL)
+SELECT a.tile, a.label, coalesce(round(min(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))),6)+0.0, 0.0) AS distance_to_nearest_neighbor FROM c a LEFT JOIN c b ON a.tile = b.tile AND a.label <> b.label GROUP BY ALL""",
+)
+def nn_distance(spark, sf_dir):
+    c = morphology.centroids(tiles(spark, sf_dir))
+    return rounded(texture.nearest(c, "tile", "label", "centroid_row", "centroid_col", cell=16.0))
+
+
+def _moments(c: str, name: str) -> str:
+    return f"""round(avg({c}),4)+0.0 AS {name}_mean, round(stddev_pop({c}),4)+0.0 AS {name}_std, round(min({c}),4)+0.0 AS {name}_min, round(max({c}),4)+0.0 AS {name}_max"""
+
+
+@query(
+    "he_color_stats",
+    f"""WITH {TILE_SQL}, o AS (SELECT tile, label, {", ".join(f"CAST(CAST(ln(greatest(CAST({c}/255.0 AS FLOAT), CAST(1e-6 AS FLOAT))) AS FLOAT) / CAST(ln(CAST(1e-6 AS FLOAT)) AS FLOAT) AS DOUBLE) AS o{c}" for c in "rgb")} FROM pixels WHERE label > 0),
+s AS (SELECT tile, label, greatest(CAST(CAST(0.65 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.70 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.29 AS FLOAT) AS DOUBLE)*ob, 0) AS h, greatest(CAST(CAST(0.07 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.99 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.11 AS FLOAT) AS DOUBLE)*ob, 0) AS e FROM (SELECT tile, label, "or" AS orr, og, ob FROM o))
+SELECT tile, label, {_moments("h", "h")}, {_moments("e", "e")}, CASE WHEN avg(e) = 0 THEN 0.0 ELSE round(avg(h)/avg(e),4)+0.0 END AS he_ratio FROM s GROUP BY ALL""",
+)
+def he_color_stats(spark, sf_dir):
+    """Without skewness and kurtosis, which the other engine corrects for the sample."""
+    df = texture.stains(tiles(spark, sf_dir))
+    return rounded(df.drop(*[c for c in df.columns if c.endswith(("skewness", "kurtosis"))]), digits=4)
+
+
+@query("lbp_stats")
+def lbp_stats(spark, sf_dir):
+    return rounded(texture.lbp(regions.patches(tiles(spark, sf_dir), SIDE)))
+
+
+@query("hog_summary")
+def hog_summary(spark, sf_dir):
+    return rounded(texture.hog(regions.patches(tiles(spark, sf_dir), SIDE)))
