@@ -62,3 +62,29 @@ def join_counted(left: DataFrame, groups: DataFrame, key: str, size: str, hot: i
     small = groups.filter(F.col(size) < hot)
     keys = F.broadcast(large.select(key))
     return left.join(F.broadcast(large), key).unionByName(left.join(keys, key, "left_anti").join(small, key))
+
+
+PROBES = 5
+
+
+def _bloom_mask(key: Column) -> Column:
+    h, bits = F.xxhash64(F.lit("bits"), key), F.lit(0).cast("long")
+    for k in range(PROBES):
+        at = F.pmod(F.shiftrightunsigned(h, 12 * k), F.lit(64)).cast("int")
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    return bits
+
+
+def maybe_in(rows: DataFrame, key: Column, listed: DataFrame, listed_key: Column, n: int, name: str, max_bits: int = 20) -> DataFrame:
+    """rows with a column ``name``: false only where the key is surely not among the n listed ones.
+
+    A blocked Bloom filter, a 64-bit word a block: a table of 2**max_bits rows at most (16 MB),
+    whatever is listed, and so sent to every executor. With more than some ten million keys it
+    passes more rows, and none less.
+    """
+    blocks = 1 << min(max_bits, max(6, int(n).bit_length() - 2))
+    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks))
+    bloom = listed.groupBy(block(listed_key).alias("_block")).agg(F.bit_or(_bloom_mask(listed_key)).alias("_mask"))
+    asked = rows.withColumn("_block", block(key)).join(F.broadcast(bloom), "_block", "left")
+    hit = key.isNotNull() & (F.col("_mask").bitwiseAND(_bloom_mask(key)) == _bloom_mask(key))
+    return asked.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_block", "_mask")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import cut, join_counted, stored, text_of, words_of
+from stainloom.llm.common import cut, join_counted, maybe_in, stored, text_of, words_of
 
 MIN_WORDS = 5
 
@@ -33,14 +33,14 @@ def _halves(words: Column) -> Column:
     """Keys of the first and last halves: two lines within one word of each other share one at least.
 
     Of n and n or n + 1 words, the first floor(n / 2) or the last floor(n / 2) are equal; a line
-    gives the halves for its own length and for the length less one.
+    gives the halves for its own length and for the length less one, each with that length.
     """
     n = F.size(words)
     out = []
-    for k in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        k = k.cast("int")
-        out += [F.xxhash64(F.lit("first"), k, F.slice(words, 1, k)), F.xxhash64(F.lit("last"), k, F.slice(words, n - k + 1, k))]
-    return F.array_distinct(F.array(*out))
+    for length in (n, n - 1):
+        k = F.floor(length / 2).cast("int")
+        out += [F.xxhash64(F.lit("first"), length, F.slice(words, 1, k)), F.xxhash64(F.lit("last"), length, F.slice(words, n - k + 1, k))]
+    return F.array(*out)
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,40 +57,47 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = lines.select(place.alias("place"), n.alias("n"), _key(F.col("words")).alias("k"), F.when(n >= MIN_WORDS, _halves(F.col("words"))).alias("halves"))
     # One row for each different line.
     unique = stored(keyed.groupBy("k").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
-    halves = unique.filter(n_ok := F.col("n") >= MIN_WORDS).select("k", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1")
+    long = unique.filter(F.col("n") >= MIN_WORDS)
+    halves = long.select("k", F.explode("halves").alias("half"))
+    shared = cut(halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1"))
     hot = max(1000, unique.count() // 1000)
-    candidates = join_counted(halves, shared, "half", "c", hot).select("k").distinct()
-    at = unique.filter(n_ok).join(candidates, "k").select("k", "place", "place.doc_id", "place.line_no")
+    # Bloom filters keep back what surely is no candidate before anything is shuffled.
+    key = F.col("half")
+    halves = maybe_in(halves, key, shared, key, shared.count(), "_may").filter("_may").drop("_may")
+    candidates = cut(join_counted(halves, shared, "half", "c", hot).select("k").distinct())
+    key = F.col("k")
+    at = maybe_in(long, key, candidates, key, candidates.count(), "_may").filter("_may").join(candidates, "k", "left_semi")
     # The words of the candidates, from the documents that have any.
-    wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k", "place")).alias("_at"))
+    wanted = cut(at.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.line_no", "k")).alias("_at")))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(F.split("_t", "\n", -1).alias("_l"), F.explode("_at").alias("a"))
-    found = found.select("a.k", "a.place", words_of(F.get("_l", F.col("a.line_no"))).alias("words")).filter(_key(F.col("words")) == F.col("k"))
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    texts = maybe_in(texts, known, wanted, known, wanted.count(), "_may").filter("_may")
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["doc_id"], F.split("_t", "\n", -1).alias("_l"), F.explode("_at").alias("a"))
+    found = found.select("a.k", F.struct("doc_id", "a.line_no").alias("place"), words_of(F.get("_l", F.col("a.line_no"))).alias("words")).filter(_key(F.col("words")) == F.col("k"))
     found = stored(found.dropDuplicates(["k"]), "candidates")
     w, size = F.col("words"), F.size("words")
-    each = found.select("k", "place", "words", F.explode(F.sequence(F.lit(0), size)).alias("gap"))
+    each = found.select("place", "words", F.explode(F.sequence(F.lit(0), size)).alias("gap"))
     less = F.when(F.col("gap") == 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(F.col("gap") - 1, F.lit(0))), F.slice(w, F.col("gap") + 1, size)))
-    variants = each.select("k", "place", "gap", _key(less).alias("v"))
-    one = F.struct("place", "k")
-    by_gap = variants.groupBy("v", "gap").agg(F.min(one).alias("first"), F.count("*").alias("c"))
+    variants = stored(each.select("place", "gap", F.xxhash64(less).alias("v")), "variants")
+    by_gap = variants.groupBy("v", "gap").agg(F.min("place").alias("first"), F.count("*").alias("c"))
     by_key = by_gap.groupBy("v").agg(
         F.min(F.when(F.col("gap") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("gap") > 0, F.col("first"))).alias("gapped"), F.sum("c").alias("all")
     )
     # Only keys that two lines share are joined back.
-    met = join_counted(variants, by_key.filter("all > 1"), "v", "all", hot)
-    same = by_gap.filter((F.col("gap") > 0) & (F.col("c") > 1)).select(F.struct("v", "gap").alias("vg"), F.col("first").alias("swapped"), F.col("c").alias("cg"))
+    by_key = cut(by_key.filter("all > 1"))
+    key = F.col("v")
+    some = maybe_in(variants, key, by_key, key, by_key.count(), "_may").filter("_may").drop("_may")
+    met = cut(join_counted(some, by_key, "v", "all", hot))
+    same = met.filter("gap > 0").groupBy(F.struct("v", "gap").alias("vg")).agg(F.min("place").alias("swapped"), F.count("*").alias("cg")).filter("cg > 1")
     gone = F.when(F.col("gap") == 0, F.col("gapped")).otherwise(F.col("whole"))
-    met = met.select("k", "place", "gap", "v", gone.alias("by"))
-    first = met.filter(F.col("by.place") < F.col("place")).select("k", "gap", "by")
-    swap = join_counted(met.filter("gap > 0").select("k", "place", F.struct("v", "gap").alias("vg")), same, "vg", "cg", hot)
-    swap = swap.filter(F.col("swapped.place") < F.col("place")).select("k", F.col("vg.gap").alias("gap"), F.col("swapped").alias("by"))
-    links = first.unionByName(swap).select("k", "by").groupBy("k").agg(F.min("by").alias("by"))
+    first = met.select("place", gone.alias("by")).filter(F.col("by") < F.col("place"))
+    swap = join_counted(met.filter("gap > 0").select("place", F.struct("v", "gap").alias("vg")), same, "vg", "cg", hot)
+    swap = swap.filter(F.col("swapped") < F.col("place")).select("place", F.col("swapped").alias("by"))
+    links = first.unionByName(swap).groupBy("place").agg(F.min("by").alias("by"))
     # Verified on the words themselves.
-    a, b = found.select("k", F.col("words").alias("wa")), found.select(F.col("k").alias("kb"), F.col("words").alias("wb"))
-    links = links.join(a, "k").join(b, F.col("by.k") == F.col("kb"))
-    links = cut(links.filter(within_one("wa", "wb")).select("k", F.col("by.place").alias("by")))
-    out = unique.select("k", "place").join(links, "k", "left")
+    a, b = found.select("place", F.col("words").alias("wa")), found.select(F.col("place").alias("by"), F.col("words").alias("wb"))
+    links = cut(links.join(a, "place").join(b, "by").filter(within_one("wa", "wb")).select("place", "by"))
+    out = unique.select("place").join(links, "place", "left")
     return out.select("place.doc_id", "place.line_no", F.col("by").isNull().alias("kept"), F.col("by.doc_id").alias("by_doc"), F.col("by.line_no").alias("by_line"))
 
 

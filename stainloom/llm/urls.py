@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import cut, join_counted
+from stainloom.llm.common import cut, join_counted, maybe_in
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parameters of a query string that don't change the page. Fixed values.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
-PROBES = 5
 
 
 def host_of(url: Column) -> Column:
@@ -47,18 +46,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks))
-
-
-def _mask(key: Column) -> Column:
-    h, bits = F.xxhash64(F.lit("bits"), key), F.lit(0).cast("long")
-    for k in range(PROBES):
-        at = F.pmod(F.shiftrightunsigned(h, 12 * k), F.lit(64)).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
-    return bits
-
-
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_bits: int = 20) -> DataFrame:
     """A verdict on every url: its longest rule's, else block if its canonical form is listed, else allow.
 
@@ -71,11 +58,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_v"), F.when(u.contains("://"), canonical(u)).alias("canonical"))
     bad = cut(listed.select(F.col("url").cast("string").alias("_u")).filter(u.contains("://")).select(canonical(u).alias("canonical")).distinct())
-    blocks = 1 << min(max_bits, max(6, int(bad.count()).bit_length() - 2))
     key = F.col("canonical")
-    bloom = bad.groupBy(_block(key, blocks).alias("_b")).agg(F.bit_or(_mask(key)).alias("_m"))
-    asked = rows.withColumn("_b", _block(key, blocks)).join(F.broadcast(bloom), "_b", "left")
-    asked = cut(asked.select("page_id", "host", "path", "rule", "_v", "canonical", F.coalesce(key.isNotNull() & (F.col("_m").bitwiseAND(_mask(key)) == _mask(key)), F.lit(False)).alias("_maybe")))
+    asked = cut(maybe_in(rows, key, bad, key, bad.count(), "_maybe", max_bits))
     maybe = asked.filter("_maybe")
     groups = maybe.groupBy("canonical").agg(F.count("*").alias("_n"))
     groups = groups.join(bad.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
