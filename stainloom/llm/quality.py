@@ -13,8 +13,8 @@ BOILERPLATE = [
     "lorem ipsum", "privacy policy", "read more", "sign in", "sign up", "skip to content", "subscribe to our newsletter",
     "terms of service", "terms of use", "use cookies",
 ]
-#: Ends of a sentence, with a closing quote or bracket after it or not.
-SENTENCE_END = "[.!?…:;。！？][\"'”’»)\\]]*$"
+#: Marks that end a sentence.
+SENTENCE_MARK = "[.!?…。！？]"
 SYMBOLS = "[#*$%&|<>]"
 MARKS = "[#*$%&|<>»•]"
 BARE_WORDS = 30
@@ -27,7 +27,7 @@ def line_reason(line: Column, phrases: Column, symbols: Column) -> Column:
 
     navigation: three separators (``|``, ``>``, ``»``, ``•``) or more, at least one in three words;
     boilerplate: a phrase of page furniture; symbols: more than one in five words with a symbol of
-    mark-up; punctuation: no sentence end in a line of 30 words or more. Lines without words pass.
+    mark-up; punctuation: no end of a sentence anywhere in a line of 30 words or more. Lines without words pass.
     The costly counts are only made for the few lines that a plain search selects.
     """
     n = F.regexp_count(line, F.lit(f"[^{SPACE}]+"))
@@ -39,7 +39,7 @@ def line_reason(line: Column, phrases: Column, symbols: Column) -> Column:
     furniture = low.contains(BOILERPLATE[0])
     for x in BOILERPLATE[1:]:
         furniture = furniture | low.contains(x)
-    ends = line.endswith(".") | F.right(F.rtrim(line), F.lit(8)).rlike(SENTENCE_END)
+    ends = line.contains(".") | line.rlike(SENTENCE_MARK)
     return (
         F.when(some & (bars >= 3) & (bars * 3 >= n), "navigation")
         .when(phrases & furniture, "boilerplate")

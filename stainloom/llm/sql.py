@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stainloom.llm.quality import BARE_WORDS, BOILERPLATE, LINE_SYMBOLS, LOST_SHARE, SENTENCE_END, SYMBOLS
+from stainloom.llm.quality import BARE_WORDS, BOILERPLATE, LINE_SYMBOLS, LOST_SHARE, SENTENCE_MARK, SYMBOLS
 from stainloom.llm.licenses import RULES, SENTENCES, pattern
 from stainloom.llm.urls import TRACKING
 
@@ -13,7 +13,6 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
 _W = "[^\\x20\\x09-\\x0D]+"
-_Q = lambda s: s.replace("'", "''")
 SQL["op9_quality_rules"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w, string_split(t, chr(10)) AS l FROM d),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w)-1)) AS i FROM w)),
@@ -25,7 +24,7 @@ lr AS (SELECT doc_id, x, n, CASE WHEN n = 0 THEN false
   WHEN len(regexp_extract_all(x, '[|>\x{{00bb}}\x{{2022}}]')) >= 3 AND len(regexp_extract_all(x, '[|>\x{{00bb}}\x{{2022}}]')) * 3 >= n THEN true
   WHEN regexp_matches(lower(x), '{"|".join(BOILERPLATE)}') THEN true
   WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]*{SYMBOLS}[^\x20\x09-\x0D]*')) > n * {LINE_SYMBOLS} THEN true
-  WHEN n >= {BARE_WORDS} AND NOT regexp_matches(rtrim(x, ' '), '{_Q(SENTENCE_END)}') THEN true ELSE false END AS bad FROM lf),
+  WHEN n >= {BARE_WORDS} AND NOT regexp_matches(x, '{SENTENCE_MARK}') THEN true ELSE false END AS bad FROM lf),
 ls AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup, count(*) FILTER (bad) AS nb,
   CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS wb FROM lr GROUP BY 1),
 r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
