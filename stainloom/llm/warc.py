@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import join_counted
+from stainloom.llm.common import cut, join_counted, maybe_in
 
 MAGIC, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n"
 MAX_HEADER = 65_536
@@ -43,7 +43,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]", "").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    rows = join_counted(rows, groups, "digest", "n", 1000)
+    # Payloads that surely have no equal are written where they were read; only the others move.
+    groups = cut(groups.filter("n > 1"))
+    key = F.col("digest")
+    rows = maybe_in(rows, key, groups, key, groups.count(), "_may")
+    met = join_counted(rows.filter("_may"), groups, "digest", "n", 1000)
+    alone = rows.filter("_may").join(groups.select("digest"), "digest", "left_anti").unionByName(rows.filter("not _may"))
+    rows = met.drop("_may", "n").unionByName(alone.drop("_may").withColumn("first", F.col("page_id")))
     again = F.col("page_id") != F.col("first")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html"), F.lit("\r\n\r\n"))
     block = F.when(F.coalesce(again, F.lit(False)), http).otherwise(F.concat(http, F.col("html")))
