@@ -7,9 +7,11 @@ likely pairs are then confirmed on full sets. A pair at the threshold is in one
 tree with a probability of 1 - (1 - 0.8) ** TREES as long as its first nodes are small.
 
 Sets that are equal are one class from the start. In each node only a maximum spanning forest of
-the likely pairs is confirmed at first. Where a pair fails, a second round compares all members of
-that node that are not yet in one component. So no link between components is lost, and a large
-group of near copies is confirmed with about one pair for each member.
+the likely pairs is confirmed at first. Where a pair fails, a second round sends the full sets of
+the members with likely pairs in other components to their small node, compares all those pairs
+there and returns the links that join components. So no link between components is lost, a large
+group of near copies is confirmed with about one pair for each member, and a group whose members
+are likely but not linked makes no more rows than it has members.
 """
 
 from __future__ import annotations
@@ -155,35 +157,78 @@ def _forest(sig: np.ndarray, n: np.ndarray):
             yield of[i], i
 
 
-def _edges(first: bool):
-    """Likely pairs of each node: a forest, or in the second round all across components."""
+def _edges(batches):
+    """A forest of likely pairs of each small node."""
+    out: list[tuple[int, int, int]] = []
+
+    def flush():
+        cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays(cols, ["key", "a", "b"])
+
+    for key, ids, n, sig in _groups(batches, 4):
+        for rows in _small(sig, int(key[0])):
+            for i, j in _forest(sig[rows], n[rows]):
+                x, y = int(ids[rows[i]]), int(ids[rows[j]])
+                if x != y:
+                    out.append((int(key[0]), min(x, y), max(x, y)))
+            if len(out) > 20_000:
+                yield flush()
+                out = []
+    if out:
+        yield flush()
+
+
+def _members(batches):
+    """Of each small node the members that have a likely pair in another component, under a key of that small node."""
+    for key, ids, n, comp, sig in _groups(batches, 5):
+        for number, rows in enumerate(_small(sig, int(key[0]))):
+            s, m, c = sig[rows], n[rows], comp[rows]
+            if (c == c[0]).all():
+                continue
+            asked = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                hit = (_likeness(s, m, i) >= 0) & (c != c[i])
+                asked |= hit
+                asked[i] |= hit.any()
+            if asked.any():
+                leaf = _mix(key[:1].view(np.uint64) + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                cols = [pa.array(np.repeat(leaf, asked.sum())), pa.array(ids[rows][asked]), pa.array(m[asked]), pa.array(c[asked])]
+                cols.append(pa.array([x.tobytes() for x in s[asked]], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["leaf", "doc_id", "n", "comp", "sig"])
+
+
+def _leaves(batches):
+    """Rows of each leaf, of batches that are sorted by it in column 0."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _bridges(percent: int):
+    """Links of each leaf that join two components; every likely pair across them is compared on full sets."""
 
     def run(batches):
-        out: list[tuple[int, int, int]] = []
-
-        def flush():
-            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
-            return pa.RecordBatch.from_arrays(cols, ["key", "a", "b"])
-
-        for group in _groups(batches, 4 if first else 5):
-            key, ids, n, sig = group[0], group[1], group[2], group[-1]
-            for rows in _small(sig, int(key[0])):
-                if first:
-                    pairs = _forest(sig[rows], n[rows])
-                else:
-                    comp = group[3][rows]
-                    if (comp == comp[0]).all():
+        for rows in _leaves(batches):
+            n, comp = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+            sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, COORDS)
+            sets, found = [np.frombuffer(r[5], np.uint64) for r in rows], []
+            for i in range(len(rows)):
+                likely = np.flatnonzero(_likeness(sig[i:], n[i:], 0) >= 0) + i
+                for j in likely[1:].tolist():
+                    if comp[i] == comp[j]:
                         continue
-                    pairs = ((i, j) for i in range(len(rows)) for j in np.flatnonzero((_likeness(sig[rows], n[rows], i) >= 0) & (comp != comp[i])) if j > i)
-                for i, j in pairs:
-                    x, y = int(ids[rows[i]]), int(ids[rows[j]])
-                    if x != y:
-                        out.append((int(key[0]), min(x, y), max(x, y)))
-                if len(out) > 20_000:
-                    yield flush()
-                    out = []
-        if out:
-            yield flush()
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        found.append((rows[i][1], rows[j][1]))
+                        comp[comp == comp[j]] = comp[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -256,18 +301,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         deeper = F.xxhash64("key", F.substring("sig", TREES + 1 + level, 1))
         nodes = nodes.join(F.broadcast(large), "key", "left").withColumn("key", F.when(F.col("_hot"), deeper).otherwise(F.col("key"))).drop("_hot")
     spread = nodes.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
-    found = stored(spread.mapInArrow(_edges(True), "key long, a long, b long"), "edges")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """a, b, ok; each end's set is made once and sent to its pairs."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
-        x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-        met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        return cut(met.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
-
-    tried = confirmed(found.select("a", "b").distinct())
+    found = stored(spread.mapInArrow(_edges, "key long, a long, b long"), "edges")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
+
+    pairs = found.select("a", "b").distinct()
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+    met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    tried = cut(met.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
     links = tried.filter("ok").select("a", "b")
     parts = cut(components(links))
     failed = tried.filter("not ok").select("a", "b")
@@ -275,12 +319,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = found.join(failed, ["a", "b"]).select("key").distinct()
         again = nodes.join(keys, "key", "left_semi").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         again = again.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "sig")
-        more = again.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(False), "key long, a long, b long")
-        more = cut(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links2 = confirmed(more).filter("ok").select("a", "b")
-            if not links2.isEmpty():
-                parts = cut(components(links.unionByName(links2)))
+        asked = again.repartition("key").sortWithinPartitions("key").mapInArrow(_members, "leaf long, doc_id long, n long, comp long, sig binary")
+        asked = stored(asked, "members")
+        met = asked.join(sets_of(asked), "doc_id").select("leaf", "doc_id", "n", "comp", "sig", "set")
+        bridges = cut(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_bridges(percent), "a long, b long"))
+        if not bridges.isEmpty():
+            parts = cut(components(links.unionByName(bridges)))
     # Classes to components, then every row by its set. Large classes are joined by broadcast.
     of = classes.join(parts, classes["rep"] == parts["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "c")
     met = join_counted(some.select("doc_id", "n", "fp"), of, "fp", "c", max(1000, hot)).select("doc_id", "n", "component_id")
