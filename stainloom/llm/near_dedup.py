@@ -7,11 +7,11 @@ likely pairs are then confirmed on full sets. A pair at the threshold is in one
 tree with a probability of 1 - (1 - 0.8) ** TREES as long as its first nodes are small.
 
 Sets that are equal are one class from the start. In each node only a maximum spanning forest of
-the likely pairs is confirmed at first. Where a pair fails, a second round sends the full sets of
-the members with likely pairs in other components to their small node, compares all those pairs
-there and returns the links that join components. So no link between components is lost, a large
-group of near copies is confirmed with about one pair for each member, and a group whose members
-are likely but not linked makes no more rows than it has members.
+the likely pairs is confirmed at first. Where a pair fails, a second round compares the likely pairs
+between components: forests have the components of all likely pairs, so the full sets of such a
+cluster are sent to one place if it is small, and to the small nodes of all trees if it is not, and
+only links that join components return. So no link between components is lost, and neither a group
+of copies nor one whose members are likely but not linked makes more rows than it has members.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ COORDS = 128
 #: Signature matches of a likely pair: five standard deviations below 0.8 * COORDS.
 LIKELY = 80
 LEAF = 2048
+#: Members of a cluster whose sets are compared in one place.
+CLUSTER = LEAF
 #: Levels at which a node with over a thousandth of all sets is branched before it is shuffled.
 LEVELS = 3
 _words: dict = {}
@@ -292,23 +294,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = feats.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     reps = cut(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "keys", "sig"))
-    nodes = reps.select(F.explode("keys").alias("key"), "doc_id", "n", "sig")
     hot = max(LEAF, reps.count() // 1000)
-    for level in range(LEVELS):
-        large = cut(nodes.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("_hot")))
+    larges: list[DataFrame] = []
+
+    def placed(of: DataFrame) -> DataFrame:
+        """A row for each tree's node of a set, where large nodes are branched."""
+        out = of.withColumn("key", F.explode("keys")).drop("keys")
+        for level, large in enumerate(larges):
+            deeper = F.xxhash64("key", F.substring("sig", TREES + 1 + level, 1))
+            out = out.join(F.broadcast(large), "key", "left").withColumn("key", F.when(F.col("_hot"), deeper).otherwise(F.col("key"))).drop("_hot")
+        return out
+
+    for _ in range(LEVELS):
+        large = cut(placed(reps).groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("_hot")))
         if large.isEmpty():
             break
-        deeper = F.xxhash64("key", F.substring("sig", TREES + 1 + level, 1))
-        nodes = nodes.join(F.broadcast(large), "key", "left").withColumn("key", F.when(F.col("_hot"), deeper).otherwise(F.col("key"))).drop("_hot")
-    spread = nodes.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
+        larges.append(large)
+    spread = placed(reps).repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
     found = stored(spread.mapInArrow(_edges, "key long, a long, b long"), "edges")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        texts = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
-
     pairs = found.select("a", "b").distinct()
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
     tried = cut(met.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
@@ -316,12 +324,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = cut(components(links))
     failed = tried.filter("not ok").select("a", "b")
     if not failed.isEmpty():
-        keys = found.join(failed, ["a", "b"]).select("key").distinct()
-        again = nodes.join(keys, "key", "left_semi").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        again = again.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "sig")
-        asked = again.repartition("key").sortWithinPartitions("key").mapInArrow(_members, "leaf long, doc_id long, n long, comp long, sig binary")
-        asked = stored(asked, "members")
-        met = asked.join(sets_of(asked), "doc_id").select("leaf", "doc_id", "n", "comp", "sig", "set")
+        # All likely pairs of a node are within one component of its forest, and so within one cluster.
+        clusters = cut(components(pairs))
+        of = clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+        of = of.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        split = of.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "size")
+        asked = cut(of.join(split, "cluster"))
+        whole = asked.filter(F.col("size") <= CLUSTER).join(reps, "doc_id").select(F.col("cluster").alias("leaf"), "doc_id", "n", "comp", "sig")
+        wide = asked.filter(F.col("size") > CLUSTER).select("doc_id", "comp")
+        if not wide.isEmpty():
+            # Members of larger clusters meet in the small nodes of all trees, as in the first round.
+            keys = found.join(failed, ["a", "b"]).select("key").distinct()
+            again = placed(reps.join(wide, "doc_id")).join(keys, "key", "left_semi").select("key", "doc_id", "n", "comp", "sig")
+            again = again.repartition("key").sortWithinPartitions("key").mapInArrow(_members, "leaf long, doc_id long, n long, comp long, sig binary")
+            whole = whole.unionByName(stored(again, "members"))
+        met = whole.join(sets, "doc_id").select("leaf", "doc_id", "n", "comp", "sig", "set")
         bridges = cut(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_bridges(percent), "a long, b long"))
         if not bridges.isEmpty():
             parts = cut(components(links.unionByName(bridges)))

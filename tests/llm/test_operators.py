@@ -95,6 +95,30 @@ def test_near_against_brute_force(spark, docs, empty):
     assert near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [2048, 4])
+def test_near_second_round(spark, monkeypatch, leaf):
+    """Groups that are likely but mostly not linked, as whole clusters and as clusters over the size of a leaf."""
+    from stainloom.llm import near_dedup as nd
+
+    base, rows = prose(7, 200).split(), []
+    for s in range(30):
+        w, r = list(base), np.random.RandomState(s)
+        for at in r.choice(190, 1 + s % 7, replace=False):
+            w[at] = f"edit{r.randint(9999)}"
+        rows.append((s, " ".join(w)))
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    top = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    top[i] = min(top[i], top[j])
+    monkeypatch.setattr(nd, "CLUSTER", leaf)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == top and len(set(top.values())) > 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
