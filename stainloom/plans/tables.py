@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stainloom.operators import batch, parity, regions
+from stainloom.operators import batch, hull, morphology, parity, regions
 from stainloom.plans.registry import _BOXES, query, rounded
 from stainloom.plans.synth import SIDE, TILE_SQL, tiles
 
@@ -147,3 +147,15 @@ def feature_summary_pearson(spark, sf_dir):
 @query("common_features", f"WITH {_FEATURES} SELECT feature, count(DISTINCT id) AS n_rows FROM fe GROUP BY ALL HAVING count(DISTINCT id) = (SELECT count(DISTINCT id) FROM fe)")
 def common_features(spark, sf_dir):
     return parity.common(_features(spark, sf_dir), "id")
+
+
+@query("convex_solidity")
+def convex_solidity(spark, sf_dir):
+    return rounded(hull.convex(tiles(spark, sf_dir)))
+
+
+@query("match_by_centroid")
+def match_by_centroid(spark, sf_dir):
+    """Each tile's nuclei against those of labels above one, so that some are taken and some left."""
+    c = morphology.centroids(tiles(spark, sf_dir)).select("tile", F.col("label").alias("id"), F.col("centroid_row").alias("row"), F.col("centroid_col").alias("col"))
+    return rounded(hull.match_by_centroid(c, c.filter("id > 1"), "tile"))

@@ -1,13 +1,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stainloom.operators import batch, parity
+from stainloom.operators import batch, hull, parity
 from stainloom.plans import registry, tables  # noqa: F401
 
-NAMES = [k for k, f in registry.QUERIES.items() if f.__module__.endswith("tables")]
+NAMES = [k for k, f in registry.QUERIES.items() if f.__module__.endswith("tables") and k in registry.SQL]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -38,3 +39,25 @@ def test_orientation_wraps(spark):
     assert [r["within"] for r in parity.details(df, 1e-2, 0.0).collect()] == [True, False]
     assert all(r["pearson"] != r["pearson"] for r in parity.summary(parity.details(df)).select("pearson").collect())
     assert batch.pending(spark.range(5).toDF("k"), spark.range(2).toDF("k"), "k", 2).select(F.sum("k")).first()[0] == 5
+
+
+def test_hull_area():
+    at = lambda cells: hull.hull_area(*np.array(cells).T)
+    assert at([(2, 3)]) == 1
+    assert at([(r, c) for r in range(4) for c in range(5)]) == 20
+    # The middle of an L's open side lies on the hull's edge.
+    assert at([(0, 0), (1, 0), (2, 0), (2, 1), (2, 2)]) == 6
+    disk = [(r, c) for r in range(21) for c in range(21) if (r - 10) ** 2 + (c - 10) ** 2 <= 81]
+    # Each of its eight half caps lets in two more: from (1.5, 6) to (0.5, 10) the edge has (1, 8) on it and (1, 9) inside.
+    assert at(disk) == len(disk) + 16
+
+
+def test_convex_and_centroids(spark):
+    px = spark.createDataFrame([(0, 1, r, c) for r, c in ((0, 0), (1, 0), (2, 0), (2, 1), (2, 2))], "tile int, label int, row int, col int")
+    r = hull.convex(px).first()
+    assert (r["convex_area"], r["solidity"], r["convexity"]) == (6.0, 5 / 6, 6 / 5)
+    a = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 0.0, 1.0), (1, 1, 0.0, 0.0)], "g int, id int, row double, col double")
+    b = spark.createDataFrame([(0, 7, 0.0, 0.9), (0, 8, 0.0, 5.0)], "g int, id int, row double, col double")
+    got = hull.match_by_centroid(a, b, "g").collect()
+    assert [(x["g"], x["id"], x["their_id"]) for x in got] == [(0, 1, 7), (0, 2, 8)]
+    assert hull.match_by_centroid(a, b, "g", 2.0).count() == 1
