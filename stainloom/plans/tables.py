@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stainloom.operators import batch, hull, morphology, parity, regions
+from stainloom.operators import batch, hull, morphology, parity, patch_kernels, regions
 from stainloom.plans.registry import _BOXES, query, rounded
 from stainloom.plans.synth import SIDE, TILE_SQL, tiles
 
@@ -159,3 +159,34 @@ def match_by_centroid(spark, sf_dir):
     """Each tile's nuclei against those of labels above one, so that some are taken and some left."""
     c = morphology.centroids(tiles(spark, sf_dir)).select("tile", F.col("label").alias("id"), F.col("centroid_row").alias("row"), F.col("centroid_col").alias("col"))
     return rounded(hull.match_by_centroid(c, c.filter("id > 1"), "tile"))
+
+
+_PATCH = f"""{TILE_SQL}, {_BOXES},
+fg AS (SELECT tile, label, row, col FROM pixels WHERE label > 0),
+bg AS (SELECT p.tile, b.label, p.row, p.col FROM pixels p JOIN box b ON p.tile = b.tile AND p.row BETWEEN pr0 AND pr1 AND p.col BETWEEN pc0 AND pc1 WHERE p.label <> b.label)"""
+
+
+@query(
+    "distance_to_boundary",
+    f"""WITH {_PATCH}, d AS (SELECT f.tile, f.label, f.row, f.col, sqrt(min((f.row-b.row)*(f.row-b.row)+(f.col-b.col)*(f.col-b.col))) AS d
+  FROM fg f JOIN bg b USING (tile, label) GROUP BY ALL)
+SELECT tile, label, round(avg(d), 6)+0.0 AS mean_distance, round(max(d), 6)+0.0 AS max_distance FROM d GROUP BY ALL""",
+)
+def distance_to_boundary(spark, sf_dir):
+    return rounded(patch_kernels.to_boundary(tiles(spark, sf_dir), SIDE))
+
+
+@query(
+    "opened_area",
+    f"""WITH {_PATCH}, steps AS (SELECT * FROM (VALUES (0,0),(0,1),(1,0),(0,-1),(-1,0)) s(dr, dc)),
+er AS (SELECT * FROM fg f WHERE NOT EXISTS (SELECT 1 FROM bg b WHERE b.tile = f.tile AND b.label = f.label AND abs(b.row-f.row)+abs(b.col-f.col) = 1)),
+op AS (SELECT DISTINCT tile, label, row+dr AS row, col+dc AS col FROM er, steps)
+SELECT f.tile, f.label, CAST(count(o.tile) AS DOUBLE) AS opened_area FROM fg f LEFT JOIN op o USING (tile, label, row, col) GROUP BY ALL""",
+)
+def opened_area(spark, sf_dir):
+    return patch_kernels.cleaned(tiles(spark, sf_dir), SIDE).select("tile", "label", "opened_area")
+
+
+@query("fourier_descriptors")
+def fourier_descriptors(spark, sf_dir):
+    return rounded(patch_kernels.fourier(tiles(spark, sf_dir), SIDE))
