@@ -113,6 +113,74 @@ def descriptors(mask: np.ndarray) -> np.ndarray:
     return np.where(out < 1e6, out, 0.0)
 
 
+def _cell_lines(ul: bool, ur: bool, ll: bool, lr: bool, r: int, c: int):
+    """Pieces of the outline in the cell whose upper left pixel is (r, c), between doubled midpoints of its sides."""
+    top, low, left, right = (2 * r, 2 * c + 1), (2 * r + 2, 2 * c + 1), (2 * r + 1, 2 * c), (2 * r + 1, 2 * c + 2)
+    if ul == lr and ur == ll and ul != ur:  # pixels that meet at a corner only are apart
+        return [(top, left), (low, right)] if ul else [(top, right), (low, left)]
+    met = [p for p, x, y in ((top, ul, ur), (left, ul, ll), (right, ur, lr), (low, ll, lr)) if x != y]
+    return [tuple(met)] if met else []
+
+
+def outline(mask: np.ndarray) -> np.ndarray:
+    """(row, col) of the longest outline halfway between pixels; the first in raster order of several.
+
+    A loop ends with the point it begins with. Where the mask meets the patch's edge the outline is open.
+    """
+    cells = [mask[:-1, :-1], mask[:-1, 1:], mask[1:, :-1], mask[1:, 1:]]
+    near: dict[tuple, list] = {}
+    for r, c in np.argwhere(np.any(cells, axis=0) & ~np.all(cells, axis=0)).tolist():
+        for a, b in _cell_lines(*(bool(x[r, c]) for x in cells), r, c):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    best: list[tuple] = []
+    first = {p: i for i, p in enumerate(near)}
+    left = set(near)
+    # Open outlines are walked from an end, loops from their first point.
+    for start in sorted(near, key=lambda p: (len(near[p]) == 2, first[p])):
+        if start not in left:
+            continue
+        path = [start]
+        left.discard(start)
+        while (onward := next((p for p in near[path[-1]] if p in left), None)) is not None:
+            path.append(onward)
+            left.discard(onward)
+        if len(near[start]) == 2:
+            path.append(start)
+        if (len(path), -first[start]) > (len(best), -first[best[0]] if best else 0):
+            best = path
+    return np.array(best, float).reshape(-1, 2) / 2
+
+
+def bending(mask: np.ndarray) -> float:
+    """Sum of squared curvatures along the longest outline; 0 for one of few points.
+
+    Differences at its two ends are one-sided, so the point where a loop begins has a small part in the value.
+    """
+    at = outline(mask)
+    if len(at) <= SHORT:
+        return 0.0
+    d = np.gradient(at, axis=0)
+    dd = np.gradient(d, axis=0)
+    bend = np.abs(dd[:, 1] * d[:, 0] - d[:, 1] * dd[:, 0]) / np.maximum((d**2).sum(axis=1) ** 1.5, 1e-10)
+    return float((bend[bend <= 1e6] ** 2).sum())
+
+
+def ripples(mask: np.ndarray, samples: int = 64) -> tuple[float, float, float]:
+    """Irregularity, spectral energy and peak mode of the outline's distance from the centroid as a function of angle."""
+    at = outline(mask)
+    if samples < 8 or len(at) < 3:
+        return 0.0, 0.0, 0.0
+    at = at[:-1] if (at[0] == at[-1]).all() else at
+    away = at - np.argwhere(mask).mean(axis=0)
+    angle, far = np.arctan2(away[:, 0], away[:, 1]), np.hypot(away[:, 0], away[:, 1])
+    turn = np.argsort(angle, kind="stable")
+    angle, far = np.append(angle[turn], angle[turn[0]] + 2 * np.pi), np.append(far[turn], far[turn[0]])
+    power = np.abs(np.fft.fft(np.interp(angle[0] + np.arange(samples) * 2 * np.pi / samples, angle, far)))[: samples // 2] ** 2
+    low = power[2:6].sum()
+    return (float(power[6:].sum() / low) if low > 0 else 0.0), float(power[1:].sum()), (4.0 + float(np.argmax(power[4:])) if samples > 8 else 4.0)
+
+
 def _by_nucleus(pixels: DataFrame, side: int, kernel, names: list[str]) -> DataFrame:
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
@@ -138,3 +206,8 @@ def cleaned(pixels: DataFrame, side: int) -> DataFrame:
 def fourier(pixels: DataFrame, side: int) -> DataFrame:
     """fourier_descriptor_1 to _5."""
     return _by_nucleus(pixels, side, descriptors, [f"fourier_descriptor_{i + 1}" for i in range(DESCRIPTORS)])
+
+
+def outlines(pixels: DataFrame, side: int) -> DataFrame:
+    """bending_energy, and irregularity, spectral energy and peak mode of the outline's radius."""
+    return _by_nucleus(pixels, side, lambda m: (bending(m), *ripples(m)), ["bending_energy", "neis_irregularity_score", "neis_spectral_energy", "neis_spectral_peak_mode"])

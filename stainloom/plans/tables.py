@@ -190,3 +190,8 @@ def opened_area(spark, sf_dir):
 @query("fourier_descriptors")
 def fourier_descriptors(spark, sf_dir):
     return rounded(patch_kernels.fourier(tiles(spark, sf_dir), SIDE))
+
+
+@query("outline_features")
+def outline_features(spark, sf_dir):
+    return rounded(patch_kernels.outlines(tiles(spark, sf_dir), SIDE))

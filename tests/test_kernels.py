@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from stainloom.operators import patch_kernels as k
-from stainloom.sources import files, mat
+from stainloom.sources import files, mat, png
 
 
 def element(kind, data, order="<"):
@@ -109,3 +109,56 @@ def test_border_and_descriptors():
     m[0, 0:3] = True
     assert np.allclose(k.descriptors(m), want)
     assert not k.descriptors(np.zeros((4, 4), bool)).any()
+
+
+def test_outline():
+    got = k.outline(square(5, 2, 3, 2, 3))
+    assert got[0].tolist() == got[-1].tolist()
+    assert {tuple(p) for p in got.tolist()} == {(1.5, 2.0), (2.0, 1.5), (2.0, 2.5), (2.5, 2.0)} and len(got) == 5
+    # Two pixels that meet at a corner have an outline each; the first counts.
+    two = square(6, 1, 2, 1, 2) | square(6, 2, 3, 2, 3)
+    assert len(k.outline(two)) == 5 and k.outline(two)[:, 0].max() == 1.5
+    # At the patch's edge the outline is open.
+    edge = k.outline(square(4, 0, 2, 0, 2))
+    assert len(edge) == 4 and edge[0].tolist() != edge[-1].tolist()
+    assert len(k.outline(np.ones((3, 3), bool))) == len(k.outline(np.zeros((3, 3), bool))) == 0
+    assert len(k.outline(np.ones((1, 1), bool))) == 0
+
+
+def test_bending_and_ripples():
+    assert k.bending(square(5, 2, 3, 2, 3)) == 0.0
+    disk = np.hypot(*np.mgrid[-15:16, -15:16]) <= 10
+    assert k.bending(disk) > 0
+    assert k.ripples(np.zeros((4, 4), bool)) == (0.0, 0.0, 0.0)
+    r = k.ripples(square(32, 8, 24, 8, 24))
+    assert all(map(math.isfinite, r)) and r[2] == 4.0
+    # A square is less round than a disk.
+    assert k.ripples(disk)[1] < r[1]
+
+
+def test_png(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    px = rng.integers(0, 256, (7, 9, 3), dtype=np.uint8)
+    assert (png.decode(png.encode(px)) == px).all()
+
+    def form(colour, lines, w, extra=b""):
+        part = lambda kind, d: struct.pack(">I", len(d)) + kind + d + struct.pack(">I", zlib.crc32(kind + d))
+        return png.MAGIC + part(b"IHDR", struct.pack(">IIBBBBB", w, len(lines), 8, colour, 0, 0, 0)) + extra + part(b"IDAT", zlib.compress(b"".join(lines))) + part(b"IEND", b"")
+
+    # Every filter, made from the pixels by its definition.
+    lines, flat = [], px.reshape(7, 27).astype(int)
+    for r, kind in enumerate((0, 1, 2, 3, 4, 4, 3)):
+        up = flat[r - 1] if r else np.zeros(27, int)
+        a, c = np.r_[0, 0, 0, flat[r][:-3]], np.r_[0, 0, 0, up[:-3]]
+        p = a + up - c
+        near = np.where((abs(p - a) <= abs(p - up)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - up) <= abs(p - c), up, c))
+        lines.append(bytes([kind]) + ((flat[r] - [0 * a, a, up, (a + up) // 2, near][kind]) % 256).astype(np.uint8).tobytes())
+    assert (png.decode(form(2, lines, 9)) == px).all()
+    assert png.decode(form(4, [b"\0\x05\xff\x09\x00"], 2)).tolist() == [[[5] * 3, [9] * 3]]
+    plte = struct.pack(">I", 6) + b"PLTE" + bytes(range(6)) + struct.pack(">I", zlib.crc32(b"PLTE" + bytes(range(6))))
+    assert png.decode(form(3, [b"\0\1\0"], 2, plte)).tolist() == [[[3, 4, 5], [0, 1, 2]]]
+    (tmp_path / "a.png").write_bytes(png.encode(px))
+    (tmp_path / "b.PNG").write_bytes(png.encode(px)[:-20])
+    got = {r["path"][-5:]: r for r in png.read_png(spark, str(tmp_path)).collect()}
+    assert bytes(got["a.png"]["rgb"]) == px.tobytes() and (got["a.png"]["height"], got["a.png"]["width"]) == (7, 9)
+    assert got["b.PNG"]["error"] and got["b.PNG"]["rgb"] is None
