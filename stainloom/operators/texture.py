@@ -33,11 +33,14 @@ def glcm(patch: DataFrame, angles=tuple(OFFSETS), guard: float = 1e-16) -> DataF
     t = t.withColumn("var", (F.col("sii") * F.col("t") - F.col("si") * F.col("si")) / (F.col("t") * F.col("t")))
     cov = (F.col("sij") * F.col("t") - F.col("si") * F.col("si")) / (F.col("t") * F.col("t"))
     asm = F.col("sq") / (F.col("t") * F.col("t"))
-    t = t.groupBy(*KEYS).agg(
-        F.avg(F.col("con") / F.col("t")).alias("glcm_contrast"), F.avg(F.col("dis") / F.col("t")).alias("glcm_dissimilarity"),
-        F.avg(F.col("hom") / F.col("t")).alias("glcm_homogeneity"), F.avg(asm).alias("glcm_ASM"), F.avg(F.sqrt(asm)).alias("glcm_energy"),
-        F.avg(F.when(F.col("var") * F.col("var") <= guard, 0.0).otherwise(cov / F.col("var"))).alias("glcm_correlation"),
-    )
+    values = {
+        "glcm_contrast": F.col("con") / F.col("t"), "glcm_dissimilarity": F.col("dis") / F.col("t"), "glcm_homogeneity": F.col("hom") / F.col("t"),
+        "glcm_ASM": asm, "glcm_energy": F.sqrt(asm), "glcm_correlation": F.when(F.col("var") * F.col("var") <= guard, 0.0).otherwise(cov / F.col("var")),
+    }
+    # Summed in the order of the angles, four at most, so that a value does not depend on the order in which rows arrive.
+    t = t.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("a", *[v.alias(c) for c, v in values.items()]))).alias("by"))
+    mean = lambda c: F.aggregate(F.col("by"), F.lit(0.0), lambda total, x: total + x[c]) / F.size("by")
+    t = t.select(*KEYS, *[mean(c).alias(c) for c in values])
     levels = patch.filter("v > 0").groupBy(*KEYS).agg(F.count_distinct("v").alias("levels"))
     names = [c for c in t.columns if c not in KEYS]
     t = t.join(levels, KEYS, "left")
