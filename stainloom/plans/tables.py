@@ -195,3 +195,9 @@ def fourier_descriptors(spark, sf_dir):
 @query("outline_features")
 def outline_features(spark, sf_dir):
     return rounded(patch_kernels.outlines(tiles(spark, sf_dir), SIDE))
+
+
+@query("cleaned_objects")
+def cleaned_objects(spark, sf_dir):
+    """Pixels of objects that are not small, and objects, of each nucleus."""
+    return patch_kernels.cleaned(tiles(spark, sf_dir), SIDE).select("tile", "label", "cleaned_area", "n_objects")
