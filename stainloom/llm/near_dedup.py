@@ -1,16 +1,21 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its word shingles. TREES independent trees branch all sets by tokens that
-minwise hashing selects: the root by one minhash, and a node that is still large by further ones,
-until it is small. Sets in a small node are compared exhaustively, first by their signatures; the
+minwise hashing selects: the root by one minhash, and a large node of mostly unlike sets by further
+ones. A branching goes REPEATS ways at once, so it keeps a pair at the threshold with 1 - 0.2 **
+REPEATS, and there are LEVELS of them before the shuffle and LEVELS after it at most. A large node of
+like sets, which branching would not part, is compared whole: where it is too large for a task, as
+all pairs of its blocks. Sets in a node are compared exhaustively, first by their signatures; the
 likely pairs are then confirmed on full sets. A pair at the threshold is in one node of at least one
-tree with a probability of 1 - (1 - 0.8) ** TREES as long as its first nodes are small.
+tree with a probability of 1 - (1 - 0.8) ** TREES if its first nodes are not branched, and of
+1 - (1 - 0.8 * 0.96 ** 6) ** TREES, all but some 8 in a million, if all of them are to the full depth.
 
 Sets that are equal are one class from the start. In each node only a maximum spanning forest of
 the likely pairs is confirmed at first. Where a pair fails, a second round compares the likely pairs
 between components: forests have the components of all likely pairs, so the full sets of such a
-cluster are sent to one place if it is small, and to the small nodes of all trees if it is not, and
-only links that join components return. So no link between components is lost, and neither a group
+cluster are sent to one place if it is small; if it is not, all pairs of its blocks are compared by
+signatures and the sets that have a likely pair elsewhere are sent for each pair of blocks. Only
+links that join components return. So no link between components is lost, and neither a group
 of copies nor one whose members are likely but not linked makes more rows than it has members.
 """
 
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stainloom.llm.common import cut, join_counted, stored, text_of
@@ -27,11 +32,14 @@ TREES = 12
 COORDS = 128
 #: Signature matches of a likely pair: five standard deviations below 0.8 * COORDS.
 LIKELY = 80
+#: Sets of a node that is not branched.
 LEAF = 2048
 #: Members of a cluster whose sets are compared in one place.
 CLUSTER = LEAF
-#: Levels at which a node with over a thousandth of all sets is branched before it is shuffled.
+#: Levels at which a large node is branched, before it is shuffled and again after it.
 LEVELS = 3
+#: Ways, by coordinates of their own, that a node is branched at a level.
+REPEATS = 2
 _words: dict = {}
 
 
@@ -117,23 +125,22 @@ def _groups(batches, columns: int):
 
 
 def _small(sig: np.ndarray, key: int):
-    """Row numbers of the small nodes below one node, branching by coordinates in an order of its own."""
-    order = np.random.RandomState(key & 0x7FFFFFFF).permutation(COORDS)
+    """Row numbers of the nodes to compare below one node: small ones, and larger ones of like sets whole."""
+    order = np.random.RandomState(key & 0x7FFFFFFF).permutation(np.flatnonzero((sig != sig[0]).any(axis=0)))
     todo = [(np.arange(len(sig)), 0)]
     while todo:
         rows, depth = todo.pop()
-        if len(rows) <= LEAF:
-            if len(rows) > 1:
-                yield rows
-        elif depth < 24:
-            c = sig[rows, order[depth]]
-            by = np.argsort(c, kind="stable")
-            todo += [(rows[x], depth + 1) for x in np.split(by, np.flatnonzero(np.diff(c[by])) + 1)]
-        else:
-            # A dense group of copies: overlapping runs of its members in the order of their signatures.
-            rows = rows[np.lexsort(sig[rows].T)]
-            for at in range(0, len(rows), LEAF // 2):
-                yield np.r_[rows[:1], rows[at : at + LEAF - 1]] if at else rows[:LEAF]
+        if len(rows) > LEAF and depth < LEVELS and len(order) >= (depth + 1) * REPEATS:
+            parts = []
+            for at in order[depth * REPEATS : (depth + 1) * REPEATS]:
+                c = sig[rows, at]
+                by = np.argsort(c, kind="stable")
+                parts += [rows[x] for x in np.split(by, np.flatnonzero(np.diff(c[by])) + 1)]
+            if 2 * sum(len(x) ** 2 for x in parts) < len(rows) ** 2:
+                todo += [(x, depth + 1) for x in parts]
+                continue
+        if len(rows) > 1:
+            yield rows
 
 
 def _likeness(sig: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
@@ -181,22 +188,19 @@ def _edges(batches):
 
 
 def _members(batches):
-    """Of each small node the members that have a likely pair in another component, under a key of that small node."""
-    for key, ids, n, comp, sig in _groups(batches, 5):
-        for number, rows in enumerate(_small(sig, int(key[0]))):
-            s, m, c = sig[rows], n[rows], comp[rows]
-            if (c == c[0]).all():
-                continue
-            asked = np.zeros(len(rows), bool)
-            for i in range(len(rows)):
-                hit = (_likeness(s, m, i) >= 0) & (c != c[i])
-                asked |= hit
-                asked[i] |= hit.any()
-            if asked.any():
-                leaf = _mix(key[:1].view(np.uint64) + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                cols = [pa.array(np.repeat(leaf, asked.sum())), pa.array(ids[rows][asked]), pa.array(m[asked]), pa.array(c[asked])]
-                cols.append(pa.array([x.tobytes() for x in s[asked]], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["leaf", "doc_id", "n", "comp", "sig"])
+    """Of each pair of blocks the members that have a likely pair in another component."""
+    for key, ids, n, c, s in _groups(batches, 5):
+        if (c == c[0]).all():
+            continue
+        asked = np.zeros(len(ids), bool)
+        for i in range(len(ids)):
+            hit = (_likeness(s, n, i) >= 0) & (c != c[i])
+            asked |= hit
+            asked[i] |= hit.any()
+        if asked.any():
+            cols = [pa.array(x[asked]) for x in (key, ids, n, c)]
+            cols.append(pa.array([x.tobytes() for x in s[asked]], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["leaf", "doc_id", "n", "comp", "sig"])
 
 
 def _leaves(batches):
@@ -280,6 +284,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+def _block_pairs(group: Column, member: Column, size: Column, most: int) -> Column:
+    """Keys of the pairs of blocks that a member of a group is in, for a group larger than ``most``.
+
+    Blocks have half of ``most`` on average, and every two members of the group share a key.
+    """
+    k = F.ceil(2 * size / F.lit(most)).cast("long")
+    block = F.pmod(F.xxhash64(F.lit("block"), member), k)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: j != block)
+    return F.transform(others, lambda j: F.xxhash64(F.lit("pair"), group, F.least(block, j), F.greatest(block, j)))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` or more.
 
@@ -297,20 +312,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = max(LEAF, reps.count() // 1000)
     larges: list[DataFrame] = []
 
+    def coordinate(level: int, way: int) -> Column:
+        """A byte of the signature that no other level, way or tree branches by before the shuffle."""
+        return F.substring("sig", F.lit(TREES + 1 + level * REPEATS + way) + F.col("tree") * (LEVELS * REPEATS), F.lit(1))
+
     def placed(of: DataFrame) -> DataFrame:
-        """A row for each tree's node of a set, where large nodes are branched."""
-        out = of.withColumn("key", F.explode("keys")).drop("keys")
+        """A row for each node of a set, where large nodes of unlike sets are branched."""
+        out = of.select("*", F.posexplode("keys").alias("tree", "key")).drop("keys")
         for level, large in enumerate(larges):
-            deeper = F.xxhash64("key", F.substring("sig", TREES + 1 + level, 1))
-            out = out.join(F.broadcast(large), "key", "left").withColumn("key", F.when(F.col("_hot"), deeper).otherwise(F.col("key"))).drop("_hot")
+            deeper = F.array(*[F.xxhash64("key", F.lit(way), coordinate(level, way)) for way in range(REPEATS)])
+            out = out.join(F.broadcast(large), "key", "left").withColumn("key", F.explode(F.when(F.col("_hot"), deeper).otherwise(F.array("key")))).drop("_hot")
         return out
 
-    for _ in range(LEVELS):
-        large = cut(placed(reps).groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("_hot")))
+    for level in range(LEVELS):
+        at = placed(reps)
+        over = cut(at.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
+        if over.isEmpty():
+            break
+        met = at.join(F.broadcast(over), "key").withColumn("_ways", F.array(*[F.struct(F.lit(way).alias("way"), coordinate(level, way).alias("c")) for way in range(REPEATS)]))
+        parts = met.select("key", "m", F.explode("_ways").alias("_way")).groupBy("key", "m", "_way").count()
+        unlike = parts.groupBy("key", "m").agg(F.sum(F.col("count") * F.col("count")).alias("pairs")).filter(2 * F.col("pairs") < F.col("m") * F.col("m"))
+        large = cut(unlike.select("key", F.lit(True).alias("_hot")))
         if large.isEmpty():
             break
         larges.append(large)
-    spread = placed(reps).repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
+    spread = placed(reps)
+    over = cut(spread.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
+    if not over.isEmpty():
+        keys = F.when(F.col("m").isNull(), F.array("key")).otherwise(_block_pairs(F.col("key"), F.col("doc_id"), F.col("m"), hot))
+        spread = spread.join(F.broadcast(over), "key", "left").withColumn("key", F.explode(keys))
+    spread = spread.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
     found = stored(spread.mapInArrow(_edges, "key long, a long, b long"), "edges")
 
     pairs = found.select("a", "b").distinct()
@@ -331,11 +362,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         split = of.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "size")
         asked = cut(of.join(split, "cluster"))
         whole = asked.filter(F.col("size") <= CLUSTER).join(reps, "doc_id").select(F.col("cluster").alias("leaf"), "doc_id", "n", "comp", "sig")
-        wide = asked.filter(F.col("size") > CLUSTER).select("doc_id", "comp")
+        wide = asked.filter(F.col("size") > CLUSTER)
         if not wide.isEmpty():
-            # Members of larger clusters meet in the small nodes of all trees, as in the first round.
-            keys = found.join(failed, ["a", "b"]).select("key").distinct()
-            again = placed(reps.join(wide, "doc_id")).join(keys, "key", "left_semi").select("key", "doc_id", "n", "comp", "sig")
+            # All pairs of members of a larger cluster meet as members of two of its blocks.
+            key = F.explode(_block_pairs(F.col("cluster"), F.col("doc_id"), F.col("size"), CLUSTER)).alias("key")
+            again = wide.join(reps, "doc_id").select(key, "doc_id", "n", "comp", "sig")
             again = again.repartition("key").sortWithinPartitions("key").mapInArrow(_members, "leaf long, doc_id long, n long, comp long, sig binary")
             whole = whole.unionByName(stored(again, "members"))
         met = whole.join(sets, "doc_id").select("leaf", "doc_id", "n", "comp", "sig", "set")

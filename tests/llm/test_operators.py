@@ -119,6 +119,36 @@ def test_near_second_round(spark, monkeypatch, leaf):
     assert got == top and len(set(top.values())) > 1
 
 
+def test_near_large_nodes_of_like_sets(spark, monkeypatch):
+    """A template's documents, most of them a little under the bound, with nodes many times a leaf."""
+    from stainloom.llm import near_dedup as nd
+
+    base, rows = prose(5, 200).split(), []
+    for s in range(40):
+        w, r = list(base), np.random.RandomState(s)
+        for at in r.choice(190, 4 + s % 3, replace=False):
+            w[at] = f"edit{r.randint(9999)}"
+        rows.append((s, " ".join(w)))
+    for s in range(0, 40, 4):
+        rows.append((100 + s, rows[s][1].replace(f" {base[-1]}", f" end{s} last{s}")))
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    top = {i: i for i in sets}
+    for _ in range(6):
+        for i in sets:
+            for j in sets:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    top[i] = top[j] = min(top[i], top[j])
+    monkeypatch.setattr(nd, "LEAF", 8)
+    sig = np.array([nd.minhashes(x, *nd._coefficients()) >> np.uint32(24) for x in sets.values()]).astype(np.uint8)
+    met = {(i, j) for rows_ in nd._small(sig, 3) for i in rows_.tolist() for j in rows_.tolist()}
+    assert len(met) == len(sets) ** 2
+    for cluster in (8, 2048):
+        monkeypatch.setattr(nd, "CLUSTER", cluster)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+        assert got == top and 10 < len(set(top.values())) < 45
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
