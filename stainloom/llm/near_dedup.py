@@ -261,7 +261,7 @@ def _sets(k: int):
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each end of a link (a, b) reaches.
+    """(id, component): the smallest id that each end of a link (a, b) reaches, but for rows of that id itself.
 
     Alternating large and small stars, which need a logarithmic number of rounds; every step is an
     aggregate and a join, and nothing is gathered on the driver but a count.
@@ -357,6 +357,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not failed.isEmpty():
         # All likely pairs of a node are within one component of its forest, and so within one cluster.
         clusters = cut(components(pairs))
+        # The root of a component, its smallest id, is not among the ids of components().
+        clusters = clusters.unionByName(clusters.select(F.col("component").alias("id"), "component")).distinct()
         of = clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
         of = of.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         split = of.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "size")

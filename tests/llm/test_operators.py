@@ -119,6 +119,23 @@ def test_near_second_round(spark, monkeypatch, leaf):
     assert got == top and len(set(top.values())) > 1
 
 
+@pytest.mark.parametrize("cluster", [2048, 2])
+def test_near_link_of_the_smallest_id_in_the_second_round(spark, monkeypatch, cluster):
+    """0 and 2 are linked, but 0-1 and 1-2 look likelier wherever all trees put 0 and 2, and fail."""
+    from stainloom.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "CLUSTER", cluster)
+    for seed in (2286, 4881, 5869):
+        r, rows = np.random.RandomState(seed), []
+        for d in range(3):
+            w = [f"w{i}" for i in range(200)]
+            for at in r.choice(190, r.randint(2, 5), replace=False):
+                w[at] = f"e{d}x{at}"
+            rows.append((d, " ".join(w)))
+        got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+        assert got == {0: (0, True), 1: (1, True), 2: (0, False)}
+
+
 def test_near_large_nodes_of_like_sets(spark, monkeypatch):
     """A template's documents, most of them a little under the bound, with nodes many times a leaf."""
     from stainloom.llm import near_dedup as nd
