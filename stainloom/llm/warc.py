@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from stainloom.llm.common import cut, join_counted, maybe_in
 
 MAGIC, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n"
-MAX_HEADER = 65_536
 RECORDS_A_FILE = 1024
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -66,24 +65,40 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.withColumn("_block", block).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """Fields of the header at a magic, and where its block begins."""
-    end = data.find(BREAK, at, at + MAX_HEADER)
-    if end < 0:
-        return None
+def _fields(data: bytes, at: int, end: int) -> dict[bytes, bytes]:
+    """Fields of the header of a magic, whose lines end at ``end``."""
     lines = data[at + len(MAGIC) : end].split(b"\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}, end + len(BREAK)
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
+
+
+def _length(data: bytes, low: int, end: int) -> tuple[int, bytes]:
+    """Where the last Content-Length line of a header begins, not before ``low``, and its value; -1 for none."""
+    stop = end
+    while stop >= low:
+        line = max(data.rfind(b"\r\n", low, stop) + 2, low)
+        k, _, v = data[line:stop].partition(b":")
+        if k.strip().lower() == b"content-length":
+            return line, v.strip()
+        stop = line - 2
+    return -1, b""
 
 
 def _candidates(data: bytes):
-    """(offset, successor's offset, fields, block's bounds) of every magic with a header."""
-    at = data.find(MAGIC)
+    """(offset, successor's offset, header's end, block's bounds) of every magic with a header.
+
+    A header ends at the first empty line, however far that is. Magics before the same end share
+    it and the last length before it, so a file is looked through once, whatever its payloads hold.
+    """
+    at, end = data.find(MAGIC), -1
     while at >= 0:
-        if found := _header(data, at):
-            fields, begin = found
-            n = fields.get(b"content-length", b"")
-            if n.isdigit():
-                yield at, begin + int(n) + len(BREAK), fields, (begin, begin + int(n))
+        if end < at:
+            end = data.find(BREAK, at)
+            if end < 0:
+                return
+            line, n = _length(data, at + len(MAGIC), end)
+        if line >= at + len(MAGIC) and n.isdigit():
+            begin = end + len(BREAK)
+            yield at, begin + int(n) + len(BREAK), end, (begin, begin + int(n))
         at = data.find(MAGIC, at + 1)
 
 
@@ -122,7 +137,10 @@ def _records(batches):
     for b in batches:
         for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             data, rows = data.as_py(), []
-            for at, _, f, (begin, end) in _candidates(data):
+            found = list(_candidates(data))
+            true = reachable(np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)) if found else []
+            for at, _, stop, (begin, end) in (x for x, ok in zip(found, true, strict=True) if ok):
+                f = _fields(data, at, stop)
                 head = data.find(BREAK, begin, end)
                 payload = data[head + len(BREAK) : end] if head >= 0 else b""
                 kind = f.get(b"warc-type", b"").decode()

@@ -213,6 +213,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert (got[4]["record_type"], got[4]["refers_to"]) == ("revisit", "2") and got[5]["refers_to"] == "3"
 
 
+def test_warc_long_url(spark, tmp_path):
+    """A header of 200,000 characters in the middle of a file, and one that holds the magic."""
+    rows = [(1, "http://a", "one"), (2, "data:" + "x" * 200_000, "two"), (3, "http://c/WARC/1.1", "three"), (4, "http://d", "WARC/1.1\r\n" * 20_000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = {int(r["page_id"]): (r["url"], bytes(r["payload"]).decode()) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (url, html) for i, url, html in rows}
+
+
 def test_reachable():
     at, to = np.array([0, 10, 15, 30, 40]), np.array([10, 30, 40, 50, 60])
     assert warc.reachable(at, to).tolist() == [True, True, False, True, False]
