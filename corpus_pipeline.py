@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stainloom.llm import queries
-from stainloom.llm.common import stored
+from stainloom.llm.common import SPACE, stored
 from stainloom.llm.exact_dedup import exact_dedup
 from stainloom.llm.mixing import mix
 from stainloom.llm.near_dedup import near_dedup
 from stainloom.llm.packing import pack
 from stainloom.llm.quality import quality_rules
 
-#: Nearly all of what is left; the weights decide which tenth goes.
-MIX_SHARE = 0.9
+#: Budget and epochs of the mixture, those of op8: a share of what is left at which a domain with less
+#: than its weight's part can be repeated up to it.
+MIX_SHARE, MIX_EPOCHS = 0.6, 2
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,8 +43,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents that begin within their leaf's budget, each once."""
-    return _keep(docs, mix(docs, MIX_SHARE, queries.WEIGHTS, queries.DOMAINS, max_epochs=1))
+    """A row for each copy that the mixture takes; the last of a leaf is cut after its take_tokens.
+
+    Rows are told apart by all their columns; equal rows are as many copies as are taken of them.
+    """
+    names = docs.columns
+    docs = docs.withColumn("_row", F.concat_ws(":", F.xxhash64(*names), F.hash(*names)))
+    taken = mix(docs, MIX_SHARE, queries.WEIGHTS, queries.DOMAINS, max_epochs=MIX_EPOCHS, extra=("_row",))
+    taken = taken.select("_row", F.when(F.col("take_tokens") < F.col("n_tokens"), F.col("take_tokens").cast("int")).alias("_cut"))
+    rows = docs.dropDuplicates(["_row"]).join(taken, "_row")
+    words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_cut")), ""))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(names)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

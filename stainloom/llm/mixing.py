@@ -63,7 +63,7 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]])
     raise AssertionError
 
 
-def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, max_epochs: int = 2) -> DataFrame:
+def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, max_epochs: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
     """Which documents to take, how often and how much of them.
 
     docs has doc_id, text, lang, source; a token is a word between white space. ``weights`` maps
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]]
     all tokens. Returns doc_id, domain, lang, source, epoch, n_tokens, take_tokens for every copy
     taken; the last copy of a leaf is taken in part. Null names are ``unknown``, a null text has
     no tokens, and documents without tokens are never taken. Rows that repeat an id are taken each
-    for itself. An empty table gives no rows.
+    for itself. An empty table gives no rows. Columns of docs named in ``extra`` are returned as well.
 
     Prefixes are summed in two steps, within 4,096 hash ranges of a leaf and over their sums, so
     that a leaf with a third of all rows is spread over the cluster.
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]]
     for k, v in domains.items():
         domain = F.when(named("source") == k, v).otherwise(domain)
     n = F.regexp_count(text_of("text"), F.lit(f"[^{SPACE}]+")).cast("long")
-    rows = cut(docs.select("doc_id", domain.alias("domain"), named("lang").alias("lang"), named("source").alias("source"), n.alias("n_tokens")).filter("n_tokens > 0"))
+    rows = cut(docs.select("doc_id", domain.alias("domain"), named("lang").alias("lang"), named("source").alias("source"), n.alias("n_tokens"), *extra).filter("n_tokens > 0"))
     leaves = cut(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_rows")))
     total = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0)), F.coalesce(F.sum("leaf_rows"), F.lit(0))).first()
     caps = leaves.select(*LEAF, (F.col("leaf_tokens") * max_epochs).alias("cap"))
@@ -100,4 +100,4 @@ def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]]
     met = met.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(ranges, ["_leaf", "epoch", "_r"])
     start = F.col("epoch") * F.col("leaf_tokens") + F.col("_base") + F.col("_in")
     met = met.withColumn("take_tokens", F.least("n_tokens", F.col("alloc") - start)).filter("take_tokens > 0")
-    return met.select("doc_id", *LEAF, "epoch", "n_tokens", "take_tokens")
+    return met.select("doc_id", *LEAF, "epoch", "n_tokens", "take_tokens", *extra)
