@@ -1,10 +1,13 @@
 """Lexical retrieval packing: each training window holds a seed document and its BM25 neighbours.
 
-Documents are tokenised and gathered into shards of bounded size as they are read, without a
-shuffle. Each shard has its own BM25 inverted index. A seed's rarest terms are looked up, the best
-unused documents follow it until the window is full, and the document that crosses the end is cut:
-its rest opens the next window. The last, short window of a shard is cut into powers of two, so
-that nothing is padded.
+Documents are tokenised once and stored as ids, with the document frequency of every token over the
+whole corpus. A document's place is then drawn from its own tokens by consistent weighted sampling:
+of hashed draws that are scaled by inverse document frequency the smallest one names a token, so two
+documents share a place with the probability that their rare tokens are shared. Ranges of places,
+which split hot ones too, become shards of bounded size, each with its own BM25 inverted index over
+all terms. The best unused documents follow a seed until the window is full, and the document that
+crosses the end is cut: its rest opens the next window. The last, short window of a shard is cut
+into powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
@@ -17,94 +20,211 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import text_of
+from stainloom.llm.common import stored, text_of
 
 SHARD_DOCS, SHARD_TOKENS = 2048, 3_000_000
-QUERY_TERMS = 12
+#: Tokens of a task's range of places, on average.
+RANGE_TOKENS = 1 << 26
+#: Tokens that name a place.
+DRAWS = 3
+#: Terms of a shard that are scored by a dense matrix; the others are by their postings.
+DENSE = 512
 K1, B = 1.2, 0.75
-#: Entries of a worker's cache of words; a memory bound, without effect on the results.
-CACHE = 400_000
-_held: dict = {}
+#: Words in a generation of a worker's cache, and documents that are tokenised at once; memory
+#: bounds, without effect on the results.
+CACHE, CHUNK = 250_000, 256
+_held: dict[int, Words] = {}
 
 
 class Words:
     """Ids of texts by a tokenizer that splits at white space, kept by word.
 
-    Words of Latin letters with marks after them go to the tokenizer's model at once, as its
-    normaliser only lower-cases them and its splitter only parts letters from marks; all other
-    words take the whole way.
+    Words of Latin letters are only lower-cased by the tokenizer's normaliser, so many of them make
+    one text whose ids are parted again at the ends of words; other words are parted by a mark
+    between them. Texts without rare letters are lower-cased at once, and their full stops and
+    commas, which the tokenizer's splitter parts from letters, are parted before the words are. The
+    cache has two generations: words that the younger one has not used are forgotten when it is full.
     """
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+    plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    simple = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
+    odd = re.compile("[\x1c-\x1f]")  # white space to Python alone
+    #: A full stop or comma after another mark, which makes one token with it.
+    joined = re.compile("[^a-z0-9\xe0-\xf6\xf8-\u024f\\s][.,]\\s")
+    MARK = "\x01"
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.of = Tokenizer.from_str(source), {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in printable]
-        self.byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def word(self, w: str) -> bytes:
-        if m := self.plain.fullmatch(w):
-            parts = (x for x in (m[1].lower(), m[2]) if x)
-            ids = [t.id for x in parts for t in self.tok.model.tokenize("".join(map(self.byte.__getitem__, x.encode())))]
-        else:
-            ids = self.tok.encode(w, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join([self.of[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            if (x := self.of.get(w)) is None:
-                x = self.word(w)
-                if len(self.of) < CACHE and len(w) < 64:
-                    self.of[w] = x
-            out.append(x)
-        return b"".join(out)
-
-
-def _neighbours(docs: list[np.ndarray]):
-    """A function of a document's number: the others by BM25 score for its rarest terms, best first."""
+        self.tok, self.young, self.old = Tokenizer.from_str(source), {}, {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values()) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        mark = self.encoded(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _parted(self, words: list[str], between: str) -> None:
+        """Learns words from the ids of all of them in one text."""
+        wide = self.kind.itemsize
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = self.encoded(between.join(part))
+            is_end = self.last[ids] if between == " " else np.append(ids == self.mark, True)
+            ends = np.flatnonzero(is_end)
+            if len(ends) != len(part):  # not a tokenizer with ends of words
+                self.young.update((w, self.encoded(w).tobytes()) for w in part)
+                continue
+            raw, skip = ids.tobytes(), 0 if between == " " else 1
+            stops = ((ends + (1 - skip)) * wide).tolist()
+            starts = [0, *[x + skip * wide for x in stops[:-1]]]
+            self.young.update((w, raw[i:j]) for w, i, j in zip(part, starts, stops, strict=True))
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.old)
+        self.young.update((w, self.old[w]) for w in words.difference(new))
+        plain = [w for w in new if self.plain.fullmatch(w)]
+        self._parted(plain, " ")
+        other = new.difference(plain)
+        safe = [] if self.mark is None else [w for w in other if self.MARK not in w and "<|" not in w]
+        self._parted(safe, f" {self.MARK} ")
+        self.young.update((w, self.encoded(w).tobytes()) for w in other.difference(safe))
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text; none where Python would split it otherwise than the tokenizer."""
+        if self.odd.search(text):
+            return None
+        if not self.simple.fullmatch(text):
+            return text.split()
+        low = text.lower() + " "
+        if not self.joined.search(low):
+            low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return low.split()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, of self.kind."""
+        words = [self.words(t) for t in texts]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        self.learn(set().union(*(x for x in words if x is not None)).difference(self.young))
+        of = self.young.__getitem__
+        return [self.encoded(t).tobytes() if x is None else b"".join(map(of, x)) for t, x in zip(texts, words, strict=True)]
+
+
+def _tokenised(source, end_id: int):
+    """Ids of each document, and in a last row the document frequencies of a task's tokens."""
+
+    def run(batches):
+        key = hash(source.value)
+        if key not in _held:
+            _held.clear()
+            _held[key] = Words(source.value)
+        words = _held[key]
+        end = np.array([end_id], words.kind).tobytes()
+        df = np.zeros(max(words.size, end_id + 1), np.int64)
+        id_type = None
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                ids = [x + end for x in words.ids(part.column(1).to_pylist())]
+                for x in ids:
+                    df[np.unique(np.frombuffer(x, words.kind))] += 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "df"])
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "n", "df"])
+
+    return run
+
+
+def _summed(batches):
+    """The sum of the frequencies of a task's rows, in parts that are added up in parallel."""
+    total = None
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            x = np.frombuffer(x, np.int64)
+            total = x.copy() if total is None else total + x
+    if total is not None:
+        for k, part in enumerate(np.array_split(total, 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "df"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
+    return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
+
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def _draws(idf: np.ndarray) -> np.ndarray:
+    """For each draw a value of every token; the smallest of a document's names its place."""
+    u = np.random.RandomState(5).random_sample((DRAWS, len(idf)))
+    return (-np.log(u) / np.maximum(idf, 1e-6) ** 2).astype(np.float32)
+
+
+def _places(kind: np.dtype, draws, end_id: int):
+    def run(batches):
+        value = draws.value
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                ids = np.frombuffer(x, kind)[:-1]
+                place = 0
+                for d in value:
+                    place = place << 20 | (int(ids[d[ids].argmin()]) if len(ids) else end_id)
+                out.append(place)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["doc_id", "ids", "place"])
+
+    return run
+
+
+def _neighbours(docs: list[np.ndarray], idf: np.ndarray):
+    """A function of a document's number and the unused ones: those by BM25 score for all its terms, best first."""
     n = len(docs)
     terms = [np.unique(d, return_counts=True) for d in docs]
     t = np.concatenate([x for x, _ in terms])
     tf = np.concatenate([c for _, c in terms]).astype(np.float32)
-    owner = np.repeat(np.arange(n), [len(x) for x, _ in terms])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in terms])
     size = np.array([len(d) for d in docs], np.float32)
+    score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(1.0, size.mean()))) * idf[t]
     order = np.argsort(t, kind="stable")
-    t, tf, owner = t[order], tf[order], owner[order]
+    t, score, owner = t[order], score[order], owner[order]
     names, first, df = np.unique(t, return_index=True, return_counts=True)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(1.0, size.mean())))
-
-    def near(i: int) -> np.ndarray:
-        at = np.searchsorted(names, terms[i][0])
-        at = at[df[at] > 1]
-        at = at[np.argsort(-idf[at], kind="stable")[:QUERY_TERMS]]
-        if not len(at):
-            return at
-        found = np.concatenate([owner[first[k] : first[k] + df[k]] for k in at])
-        score = np.bincount(found, np.concatenate([weight[first[k] : first[k] + df[k]] * idf[k] for k in at]), n)
-        hits = np.unique(found)
-        return hits[np.argsort(-score[hits], kind="stable")]
+    place = np.full(len(idf), -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    frequent = np.argsort(-df, kind="stable")[:DENSE]
+    column = np.full(len(names), -1, np.int32)
+    column[frequent] = np.arange(len(frequent), dtype=np.int32)
+    dense = np.zeros((n, len(frequent)), np.float32)
+    of = np.repeat(column, df)
+    dense[owner[of >= 0], of[of >= 0]] = score[of >= 0]
+
+    def near(i: int, unused: np.ndarray) -> np.ndarray:
+        at = place[terms[i][0]]
+        has = np.zeros(len(frequent), np.float32)
+        has[column[at[column[at] >= 0]]] = 1
+        total = dense @ has
+        at = at[(column[at] < 0) & (df[at] > 1)]
+        if len(at):
+            k = df[at]
+            hits = np.repeat(first[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            total += np.bincount(owner[hits], score[hits], n).astype(np.float32)
+        rest = np.flatnonzero(unused & (total > 0))
+        return rest[np.argsort(-total[rest], kind="stable")]
 
     return near
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard; every token is in one of them."""
-    near, used, pieces = _neighbours(docs), np.zeros(len(docs), bool), []
+    near, used, pieces = _neighbours(docs, idf), np.zeros(len(docs), bool), []
     seq = free = 0
-    line: list[int] = []
 
     def put(i: int, start: int) -> int:
         """Puts what fits of a document; the first token that doesn't."""
@@ -129,8 +249,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
         if end < len(docs[i]):
             rest = (i, end)
         elif free < window:
-            line = [j for j in near(i).tolist() if not used[j]]
-            for j in line:
+            for j in near(i, ~used).tolist():
                 used[j] = True
                 end = put(j, 0)
                 if free == window:
@@ -155,32 +274,17 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs all documents; ``tokenizer`` is the JSON of a tokenizer that splits at white space.
-
-    Returns a row per piece: doc_id, start, ids (binary, little-endian unsigned 32-bit), doc_tokens
-    (with the end id), sequence_id, offset. A null or empty text is its end id alone; repeated rows
-    are documents of their own. Shards follow the partitions of docs; a task that is run again
-    makes the same pieces. An empty table gives no rows.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    end = np.array([end_id], "<u4")
-
+def _packed(window: int, kind: np.dtype, idf):
     def run(batches):
-        key = hash(source.value)
-        if key not in _held:
-            _held.clear()
-            _held[key] = Words(source.value)
-        words, base = _held[key], TaskContext.get().partitionId() << 36
-        ids, texts, total, seq = [], [], 0, 0
+        base, weights = TaskContext.get().partitionId() << 36, idf.value
+        ids, docs, total, seq = [], [], 0, 0
 
         def flush():
             nonlocal seq
-            pieces = pack_shard(texts, window)
+            pieces = pack_shard(docs, window, weights)
             cols = {"doc_id": [ids[p[0]] for p in pieces], "start": [p[1] for p in pieces]}
-            cols["ids"] = [texts[i][s : s + n].tobytes() for i, s, n, _, _ in pieces]
-            cols["doc_tokens"] = [len(texts[p[0]]) for p in pieces]
+            cols["ids"] = [docs[i][s : s + n].astype("<u4").tobytes() for i, s, n, _, _ in pieces]
+            cols["doc_tokens"] = [len(docs[p[0]]) for p in pieces]
             cols["sequence_id"] = [base + seq + p[3] for p in pieces]
             cols["offset"] = [p[4] for p in pieces]
             seq += pieces[-1][3] + 1
@@ -189,15 +293,51 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_co
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
-                texts.append(np.concatenate([np.frombuffer(words.ids(t), "<u4"), end]))
-                total += len(texts[-1])
+                docs.append(np.frombuffer(x, kind))
+                total += len(docs[-1])
                 if len(ids) >= SHARD_DOCS or total >= SHARD_TOKENS:
                     yield flush()
-                    ids, texts, total = [], [], 0
+                    ids, docs, total = [], [], 0
         if ids:
             yield flush()
 
+    return run
+
+
+def placed(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"):
+    """(doc_id, ids, place) of all documents, their number of tokens, the ids' type and all idf."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    source = spark.sparkContext.broadcast(tokenizer)
+    held = stored(rows.mapInArrow(_tokenised(source, end_id), f"doc_id {kind}, ids binary, n long, df binary"), "ids")
+    counts = held.agg(F.count("ids"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = held.filter("df is not null").select("df").mapInArrow(_summed, "part int, df binary").groupBy("part").applyInArrow(_added, "part int, df binary").collect()
+    df = np.concatenate([np.frombuffer(r["df"], np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(1, np.int64)
+    idf = idf_of(df, counts[0])
+    ids_kind = np.dtype("<u2" if Words(tokenizer).size <= 1 << 16 else "<u4")
+    draws = spark.sparkContext.broadcast(_draws(idf))
+    at = held.filter("ids is not null").select("doc_id", "ids").mapInArrow(_places(ids_kind, draws, end_id), f"doc_id {kind}, ids binary, place long")
+    return at, counts[1], ids_kind, idf
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Packs all documents; ``tokenizer`` is the JSON of a tokenizer that splits at white space.
+
+    Returns a row per piece: doc_id, start, ids (binary, little-endian unsigned 32-bit), doc_tokens
+    (with the end id), sequence_id, offset. A null or empty text is its end id alone; repeated rows
+    are documents of their own. Extra columns are ignored. An empty table gives no rows.
+
+    What is gathered and broadcast is a number for each token of the vocabulary. Ranges of places
+    are drawn from a sample, so another run can part shards elsewhere; equal places are parted by a
+    hash of the document, and a task that is run again makes the same pieces.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    at, tokens, ids_kind, idf = placed(docs, tokenizer, end_id, id_col, text_col)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
+    at = at.withColumn("salt", F.xxhash64("doc_id", "ids")).repartitionByRange(n, "place", "salt").sortWithinPartitions("place", "salt", "doc_id")
+    out = at.select("doc_id", "ids").mapInArrow(_packed(window, ids_kind, spark.sparkContext.broadcast(idf)), f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return out
