@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one only where none is named and all run in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     at = at or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -88,3 +90,14 @@ def maybe_in(rows: DataFrame, key: Column, listed: DataFrame, listed_key: Column
     asked = rows.withColumn("_block", block(key)).join(F.broadcast(bloom), "_block", "left")
     hit = key.isNotNull() & (F.col("_mask").bitwiseAND(_bloom_mask(key)) == _bloom_mask(key))
     return asked.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_block", "_mask")
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, n: int) -> DataFrame:
+    """rows but those whose key is among the n of ``gone``, a column ``key`` of different values.
+
+    Only rows that a Bloom filter can't clear are shuffled; a null key stays.
+    """
+    names = rows.columns
+    asked = maybe_in(rows.withColumn("_key", key), F.col("_key"), gone, F.col("key"), n, "_may")
+    some = asked.filter("_may")
+    return asked.filter("not _may").select(names).unionByName(some.join(gone, F.col("_key") == F.col("key"), "left_anti").select(names))

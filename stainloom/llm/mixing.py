@@ -63,35 +63,18 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]])
     raise AssertionError
 
 
-def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, max_epochs: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Which documents to take, how often and how much of them.
-
-    docs has doc_id, text, lang, source; a token is a word between white space. ``weights`` maps
-    the levels domain, lang and source to whole-number weights by name, ``*`` for all others;
-    ``domains`` maps sources to domains, the rest are ``other``. The budget is ``budget_share`` of
-    all tokens. Returns doc_id, domain, lang, source, epoch, n_tokens, take_tokens for every copy
-    taken; the last copy of a leaf is taken in part. Null names are ``unknown``, a null text has
-    no tokens, and documents without tokens are never taken. Rows that repeat an id are taken each
-    for itself. An empty table gives no rows. Columns of docs named in ``extra`` are returned as well.
-
-    Prefixes are summed in two steps, within 4,096 hash ranges of a leaf and over their sums, so
-    that a leaf with a third of all rows is spread over the cluster.
-    """
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    domain = F.lit("other")
-    for k, v in domains.items():
-        domain = F.when(named("source") == k, v).otherwise(domain)
+def _taken(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int, max_epochs: int) -> tuple[DataFrame, DataFrame, int]:
+    """A row for each copy, taken or not, in a range _r of the hashes of its leaf; the leaves that give any; the number of rows with tokens."""
     n = F.regexp_count(text_of("text"), F.lit(f"[^{SPACE}]+")).cast("long")
-    rows = cut(docs.select("doc_id", domain.alias("domain"), named("lang").alias("lang"), named("source").alias("source"), n.alias("n_tokens"), *extra).filter("n_tokens > 0"))
+    rows = cut(docs.select("doc_id", *_names(domains), n.alias("n_tokens")).filter("n_tokens > 0"))
     leaves = cut(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count("*").alias("leaf_rows")))
     total = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0)), F.coalesce(F.sum("leaf_rows"), F.lit(0))).first()
     caps = leaves.select(*LEAF, (F.col("leaf_tokens") * max_epochs).alias("cap"))
-    alloc = cut(leaves.join(budgets(caps, int(total[0] * budget_share), weights), LEAF))
-    leaf = F.concat_ws("\x1f", *LEAF)
-    met = join_counted(rows.withColumn("_leaf", leaf), alloc.select(leaf.alias("_leaf"), "leaf_tokens", "leaf_rows", "alloc"), "_leaf", "leaf_rows", max(1000, total[1] // 1000))
+    alloc = cut(leaves.join(budgets(caps, int(total[0] * budget_share), weights), LEAF).select(_leaf().alias("_leaf"), "leaf_tokens", "leaf_rows", "alloc"))
+    met = join_counted(rows.withColumn("_leaf", _leaf()), alloc, "_leaf", "leaf_rows", max(1000, total[1] // 1000))
     epochs = F.sequence(F.lit(0), F.floor((F.col("alloc") - 1) / F.col("leaf_tokens")).cast("int"))
     met = met.filter("alloc > 0").withColumn("epoch", F.explode(epochs))
-    met = met.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.col("doc_id").cast("string"))))
+    met = met.withColumn("_h", _drawn(seed))
     met = met.withColumn("_r", F.substring("_h", 1, 3))
     ranges = met.groupBy("_leaf", "epoch", "_r").agg(F.sum("n_tokens").alias("_s"))
     over = Window.partitionBy("_leaf", "epoch").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,5 +82,68 @@ def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]]
     inner = Window.partitionBy("_leaf", "epoch", "_r").orderBy("_h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(ranges, ["_leaf", "epoch", "_r"])
     start = F.col("epoch") * F.col("leaf_tokens") + F.col("_base") + F.col("_in")
-    met = met.withColumn("take_tokens", F.least("n_tokens", F.col("alloc") - start)).filter("take_tokens > 0")
-    return met.select("doc_id", *LEAF, "epoch", "n_tokens", "take_tokens", *extra)
+    met = met.withColumn("take_tokens", F.least("n_tokens", F.greatest(F.col("alloc") - start, F.lit(0))))
+    return met, alloc.select("_leaf", "leaf_rows"), total[1]
+
+
+def _names(domains: dict[str, str]) -> list[Column]:
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    domain = F.lit("other")
+    for k, v in domains.items():
+        domain = F.when(named("source") == k, v).otherwise(domain)
+    return [domain.alias("domain"), named("lang").alias("lang"), named("source").alias("source")]
+
+
+def _leaf() -> Column:
+    return F.concat_ws("\x1f", *LEAF)
+
+
+def _drawn(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.col("doc_id").cast("string")))
+
+
+def mix(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, max_epochs: int = 2) -> DataFrame:
+    """Which documents to take, how often and how much of them.
+
+    docs has doc_id, text, lang, source; a token is a word between white space. ``weights`` maps
+    the levels domain, lang and source to whole-number weights by name, ``*`` for all others;
+    ``domains`` maps sources to domains, the rest are ``other``. The budget is ``budget_share`` of
+    all tokens. Returns doc_id, domain, lang, source, epoch, n_tokens, take_tokens for every copy
+    taken; the last copy of a leaf is taken in part. Null names are ``unknown``, a null text has
+    no tokens, and documents without tokens are never taken. Rows that repeat an id are taken each
+    for itself. Other columns are ignored. An empty table gives no rows.
+
+    Prefixes are summed in two steps, within 4,096 hash ranges of a leaf and over their sums, so
+    that a leaf with a third of all rows is spread over the cluster.
+    """
+    return _taken(docs, budget_share, weights, domains, seed, max_epochs)[0].filter("take_tokens > 0").select("doc_id", *LEAF, "epoch", "n_tokens", "take_tokens")
+
+
+def mix_rows(docs: DataFrame, budget_share: float, weights: dict[str, dict[str, int]], domains: dict[str, str], seed: int = 7, max_epochs: int = 2) -> DataFrame:
+    """The rows that mix() takes, one for each copy, with all columns of docs and _take: how many tokens, null for all.
+
+    What a leaf gives in an epoch are its first rows by hash and id, so the last of them alone says
+    of each row, where it is read, whether it is taken; texts aren't shuffled but for leaves with
+    less than a thousandth of the rows. Of rows that repeat the id of a last one, those with fewer
+    tokens come first.
+    """
+    names = docs.columns
+    met, leaves, n = _taken(docs, budget_share, weights, domains, seed, max_epochs)
+    key = F.struct("_h", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"))
+    by_key = met.groupBy("_leaf", "epoch", "_r", key.alias("_key")).agg(F.sum("take_tokens").alias("left"), F.sum("n_tokens").alias("full"), F.count("*").alias("c"))
+    last = by_key.filter("left > 0").groupBy("_leaf", "epoch").agg(F.max(F.struct("_key", "left", "full", "c")).alias("_last"))
+    ends = cut(last.groupBy("_leaf").agg(F.collect_list(F.struct("epoch", "_last")).alias("_ends")).join(leaves, "_leaf"))
+    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "text", *_names(domains)).withColumn("_leaf", _leaf()).drop(*LEAF)
+    rows = join_counted(rows, ends, "_leaf", "leaf_rows", max(1000, n // 1000)).select("_row", "doc_id", "text", "_leaf", F.explode("_ends").alias("_end"))
+    rows = rows.select("_row", "text", "_leaf", "doc_id", "_end.epoch", "_end._last").withColumn("_h", _drawn(seed))
+    rows = rows.filter((key <= F.col("_last._key")) & F.col("text").rlike(f"[^{SPACE}]"))
+    cut_at = F.when((key == F.col("_last._key")) & (F.col("_last.left") < F.col("_last.full")), F.col("_last.left"))
+    if not ends.filter(F.exists("_ends", lambda x: x["_last"]["c"] > 1)).isEmpty():
+        n_tokens = F.regexp_count(F.col("text"), F.lit(f"[^{SPACE}]+")).cast("long")
+        tied = rows.filter((key == F.col("_last._key")) & (F.col("_last.c") > 1)).withColumn("n_tokens", n_tokens)
+        before = F.sum("n_tokens").over(Window.partitionBy("_leaf", "epoch").orderBy("n_tokens", "text").rowsBetween(Window.unboundedPreceding, -1))
+        tied = tied.withColumn("_take", F.least("n_tokens", F.col("_last.left") - F.coalesce(before, F.lit(0)))).filter("_take > 0").select("_row", "_take")
+        rows = rows.filter((key < F.col("_last._key")) | (F.col("_last.c") == 1)).select("_row", cut_at.alias("_take")).unionByName(tied)
+    else:
+        rows = rows.select("_row", cut_at.alias("_take"))
+    return rows.select("_row.*", F.col("_take").cast("int").alias("_take"))

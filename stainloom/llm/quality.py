@@ -64,25 +64,25 @@ def fenced(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """Judges every whole text; one row for each row of docs, none of them merged.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines_removed, words_removed and clean_text. A null or blank text has no words and fails;
     repeated rows and ids are judged each for itself; other columns are ignored whatever their
-    names. Base: fewer than 50 words, or over half of the words in repeated windows. After that a
+    names, but those in ``extra`` are returned as well. Base: fewer than 50 words, or over half of the words in repeated windows. After that a
     document stays unless its failing lines hold more than half of its words.
 
     Built-in functions only, within one row: no shuffle, and memory for one text at a time.
     Windows are compared by 64-bit hash, sorted with their places, in n log n steps.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
-    d = d.select("doc_id", "_t", fenced(words_of(F.col("_t"))).alias("_w"), fenced(F.split("_t", "\n", -1)).alias("_l"), F.lower("_t").alias("_low"))
+    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"), *extra)
+    d = d.select(*extra, "doc_id", "_t", fenced(words_of(F.col("_t"))).alias("_w"), fenced(F.split("_t", "\n", -1)).alias("_l"), F.lower("_t").alias("_low"))
     furniture = F.col("_low").contains(BOILERPLATE[0])
     for x in BOILERPLATE[1:]:
         furniture = furniture | F.col("_low").contains(x)
     d = d.select(
-        "doc_id", "_t", "_w", "_l", fenced(furniture).alias("_furniture"), fenced(F.col("_t").rlike(MARKS)).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
+        *extra, "doc_id", "_t", "_w", "_l", fenced(furniture).alias("_furniture"), fenced(F.col("_t").rlike(MARKS)).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
         F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"), fenced(_windows(F.col("_w"))).alias("_h"),
     )
     d = d.withColumn("_some", F.size(F.array_distinct("_h")) < F.size("_h"))
@@ -101,7 +101,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lost = F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(f"[^{SPACE}]+")))
     d = d.withColumn("words_removed", lost)
     d = d.select(
-        "doc_id", "n_words", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        *extra, "doc_id", "n_words", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
