@@ -6,13 +6,13 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stainloom.llm import queries
-from stainloom.llm.common import SPACE, stored
+from stainloom.llm.common import SPACE, cut, maybe_in, stored, without
 from stainloom.llm.exact_dedup import exact_dedup
-from stainloom.llm.mixing import mix
+from stainloom.llm.mixing import mix_rows
 from stainloom.llm.near_dedup import near_dedup
 from stainloom.llm.packing import pack
 from stainloom.llm.quality import quality_rules
@@ -22,42 +22,55 @@ from stainloom.llm.quality import quality_rules
 MIX_SHARE, MIX_EPOCHS = 0.6, 2
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids; rows that repeat an id count as one."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _with_text(rows: DataFrame, names: list[str], text: Column, changed: Column) -> DataFrame:
+    """rows with another text where it has changed, and the number of characters that goes with it."""
+    rows = rows.withColumn("_text", F.when(changed, text).otherwise(F.col("text")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(changed, F.char_length("_text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.col("_text")).select(names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are; rejected ones go."""
-    return _keep(docs, quality_rules(docs).filter("kept"))
+    """Documents that the quality rules keep, without the lines that the rules remove; rejected ones go.
+
+    Each row is judged for itself, whatever its id.
+    """
+    names = docs.columns
+    judged = quality_rules(docs.withColumn("_row", F.struct(*names)), extra=("_row",)).filter("kept")
+    rows = judged.select("_row.*", F.col("clean_text").alias("_clean"), F.col("n_lines_removed").alias("_removed"))
+    return _with_text(rows, names, F.col("_clean"), F.col("_removed") > 0)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id."""
-    return _keep(docs, exact_dedup(docs).filter("kept"))
+    """Of documents with equal texts the one with the largest id; of rows that repeat its id and text one.
+
+    A null id is smaller than others. Only rows that may have an equal are shuffled.
+    """
+    names = docs.columns
+    key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+    groups = exact_dedup(docs).filter("group_size > 1").select(key(F.col("text_sha256")).alias("key"), "kept")
+    groups = cut(groups.groupBy("key").agg(F.max("kept").alias("kept")))
+    rows = docs.withColumn("_key", key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = maybe_in(rows, F.col("_key"), groups, F.col("key"), groups.count(), "_may")
+    some = rows.filter("_may").dropDuplicates(["_key"]).join(groups.filter("not kept"), F.col("_key") == F.col("key"), "left_anti")
+    return rows.filter("not _may").select(names).unionByName(some.select(names))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates over five-word shingles."""
-    return _keep(docs, near_dedup(docs, shingle=5).filter("kept"))
+    """One document, that with the smallest id, of each group of near duplicates over five-word shingles.
 
+    Rows that repeat an id stay or go together, and stay if one of them does; a null id stays.
+    """
+    ids = near_dedup(docs, shingle=5).filter("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max("kept").alias("kept"))
+    gone = cut(ids.filter("not kept").select("key"))
+    return without(docs, F.col("doc_id").cast("long"), gone, gone.count())
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mixture takes; the last of a leaf is cut after its take_tokens.
 
-    Rows are told apart by all their columns; equal rows are as many copies as are taken of them.
-    """
-    names = docs.columns
-    docs = docs.withColumn("_row", F.concat_ws(":", F.xxhash64(*names), F.hash(*names)))
-    taken = mix(docs, MIX_SHARE, queries.WEIGHTS, queries.DOMAINS, max_epochs=MIX_EPOCHS, extra=("_row",))
-    taken = taken.select("_row", F.when(F.col("take_tokens") < F.col("n_tokens"), F.col("take_tokens").cast("int")).alias("_cut"))
-    rows = docs.dropDuplicates(["_row"]).join(taken, "_row")
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mixture takes; the last of a leaf is cut after the tokens it gives."""
     words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_cut")), ""))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(names)
+    rows = mix_rows(docs, MIX_SHARE, queries.WEIGHTS, queries.DOMAINS, max_epochs=MIX_EPOCHS)
+    return _with_text(rows, docs.columns, F.array_join(F.slice(words, 1, F.col("_take")), ""), F.col("_take").isNotNull())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
