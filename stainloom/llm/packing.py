@@ -1,9 +1,9 @@
 """Lexical retrieval packing: each training window holds a seed document and its BM25 neighbours.
 
-Documents are tokenised once and stored as ids, with the document frequency of every token over the
-whole corpus. A document's place is then drawn from its own tokens by consistent weighted sampling:
-of hashed draws that are scaled by inverse document frequency the smallest one names a token, so two
-documents share a place with the probability that their rare tokens are shared. Ranges of places,
+Documents are tokenised once and stored as ids, and every token is counted over the whole corpus. A
+document's place is then drawn from its own tokens by consistent weighted sampling: of random draws
+that are scaled by the tokens' information content the smallest one names a token, so two documents
+share a place with the probability that their rare tokens are shared. Ranges of places,
 which split hot ones too, become shards of bounded size, each with its own BM25 inverted index over
 all terms. The best unused documents follow a seed until the window is full, and the document that
 crosses the end is cut: its rest opens the next window. The last, short window of a shard is cut
@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,23 +31,25 @@ DRAWS = 3
 #: Terms of a shard that are scored by a dense matrix; the others are by their postings.
 DENSE = 512
 K1, B = 1.2, 0.75
-#: Words in a generation of a worker's cache, and documents that are tokenised at once; memory
+#: Words in a generation of a worker's cache, and bytes of texts that are tokenised at once; memory
 #: bounds, without effect on the results.
-CACHE, CHUNK = 250_000, 256
+CACHE, CHUNK = 250_000, 1 << 23
 _held: dict[int, Words] = {}
 
 
 class Words:
     """Ids of texts by a tokenizer that splits at white space, kept by word.
 
-    Words of Latin letters are only lower-cased by the tokenizer's normaliser, so many of them make
-    one text whose ids are parted again at the ends of words; other words are parted by a mark
-    between them. Texts without rare letters are lower-cased at once, and their full stops and
-    commas, which the tokenizer's splitter parts from letters, are parted before the words are. The
-    cache has two generations: words that the younger one has not used are forgotten when it is full.
+    Texts of Latin letters are lower-cased at once, and their full stops and commas, which the
+    tokenizer's splitter parts from letters, are parted before the words are. Words are numbered by
+    a hash table over many texts and only the different ones looked up. New words of letters alone
+    go to the tokenizer's model many at a time, without the steps that leave them as they are, and
+    the ids are parted again at the ends of words; other words take the whole way, parted by a mark
+    between them. The cache has two generations: words that the younger one has not used are
+    forgotten when it is full.
     """
 
-    plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    plain = re.compile("[a-zß-öø-ÿ]+")
     simple = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
     odd = re.compile("[\x1c-\x1f]")  # white space to Python alone
     #: A full stop or comma after another mark, which makes one token with it.
@@ -54,7 +57,7 @@ class Words:
     MARK = "\x01"
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.young, self.old = Tokenizer.from_str(source), {}, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -64,59 +67,74 @@ class Words:
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         mark = self.encoded(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _parted(self, words: list[str], between: str) -> None:
+    def _parted(self, words: list[str], between: str, encoded) -> None:
         """Learns words from the ids of all of them in one text."""
         wide = self.kind.itemsize
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = self.encoded(between.join(part))
+            ids = encoded(between.join(part))
             is_end = self.last[ids] if between == " " else np.append(ids == self.mark, True)
             ends = np.flatnonzero(is_end)
             if len(ends) != len(part):  # not a tokenizer with ends of words
-                self.young.update((w, self.encoded(w).tobytes()) for w in part)
+                self.young.update(zip(part, [self.encoded(w).tobytes() for w in part], strict=True))
                 continue
             raw, skip = ids.tobytes(), 0 if between == " " else 1
-            stops = ((ends + (1 - skip)) * wide).tolist()
-            starts = [0, *[x + skip * wide for x in stops[:-1]]]
-            self.young.update((w, raw[i:j]) for w, i, j in zip(part, starts, stops, strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.old)
-        self.young.update((w, self.old[w]) for w in words.difference(new))
-        plain = [w for w in new if self.plain.fullmatch(w)]
-        self._parted(plain, " ")
-        other = new.difference(plain)
+            stops = (ends + 1 - skip) * wide
+            starts = np.append(0, stops[:-1] + skip * wide)
+            self.young.update(zip(part, [raw[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.old]
+        if len(new) < len(words):
+            self.young.update((w, self.old[w]) for w in set(words).difference(new))
+        plain = list(filter(self.plain.fullmatch, new))
+        self._parted(plain, " ", lambda t: np.array(self.bare.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.kind))
+        other = set(new).difference(plain, [""])
         safe = [] if self.mark is None else [w for w in other if self.MARK not in w and "<|" not in w]
-        self._parted(safe, f" {self.MARK} ")
+        self._parted(safe, f" {self.MARK} ", self.encoded)
         self.young.update((w, self.encoded(w).tobytes()) for w in other.difference(safe))
+        self.young[""] = b""
 
-    def words(self, text: str) -> list[str] | None:
-        """The words of a text; none where Python would split it otherwise than the tokenizer."""
-        if self.odd.search(text):
-            return None
+    def _readied(self, text: str) -> str | None:
+        """A text that white space parts into words; none where the tokenizer has to part it."""
         if not self.simple.fullmatch(text):
-            return text.split()
+            return None if self.odd.search(text) else text
         low = text.lower() + " "
         if not self.joined.search(low):
             low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
-        return low.split()
+        return low
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of self.kind."""
-        words = [self.words(t) for t in texts]
+        ready = [self._readied(t) for t in texts]
+        words = pc.utf8_split_whitespace(pa.array([x or "" for x in ready], pa.large_string()))
+        counts = np.diff(words.offsets.to_numpy())
+        numbered = words.flatten().dictionary_encode()
+        unique = numbered.dictionary.to_pylist()
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        self.learn(set().union(*(x for x in words if x is not None)).difference(self.young))
-        of = self.young.__getitem__
-        return [self.encoded(t).tobytes() if x is None else b"".join(map(of, x)) for t, x in zip(texts, words, strict=True)]
+        young = self.young
+        self.learn([w for w in unique if w not in young])
+        each = [young[w] for w in unique]
+        pool = np.frombuffer(b"".join(each), self.kind)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        at = numbered.indices.to_numpy()
+        n = size[at]
+        stop = np.cumsum(n)
+        out = pool[np.repeat(first[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(counts)]]).tolist()
+        return [self.encoded(t).tobytes() if r is None else out[i:j].tobytes() for t, r, i, j in zip(texts, ready, ends[:-1], ends[1:], strict=True)]
 
 
 def _tokenised(source, end_id: int):
-    """Ids of each document, and in a last row the document frequencies of a task's tokens."""
+    """Ids of each document, and in a last row how often a task has had each token."""
 
     def run(batches):
         key = hash(source.value)
@@ -125,24 +143,25 @@ def _tokenised(source, end_id: int):
             _held[key] = Words(source.value)
         words = _held[key]
         end = np.array([end_id], words.kind).tobytes()
-        df = np.zeros(max(words.size, end_id + 1), np.int64)
+        count = np.zeros(max(words.size, end_id + 1), np.int64)
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
+            sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero(np.diff(sizes // CHUNK)) + 1
+            for at, to in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                part = b.slice(at, to - at)
                 ids = [x + end for x in words.ids(part.column(1).to_pylist())]
-                for x in ids:
-                    df[np.unique(np.frombuffer(x, words.kind))] += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "df"])
+                count += np.bincount(np.frombuffer(b"".join(ids), words.kind), minlength=len(count))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "counts"])
         if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "n", "df"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([count.tobytes()], pa.binary())], ["doc_id", "ids", "n", "counts"])
 
     return run
 
 
 def _summed(batches):
-    """The sum of the frequencies of a task's rows, in parts that are added up in parallel."""
+    """The sum of the counts of a task's rows, in parts that are added up in parallel."""
     total = None
     for b in batches:
         for x in b.column(0).to_pylist():
@@ -150,53 +169,64 @@ def _summed(batches):
             total = x.copy() if total is None else total + x
     if total is not None:
         for k, part in enumerate(np.array_split(total, 16)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+def _draws(counts: np.ndarray) -> np.ndarray:
+    """For each draw a value of every token; the smallest of a document's names its place.
 
-
-def _draws(idf: np.ndarray) -> np.ndarray:
-    """For each draw a value of every token; the smallest of a document's names its place."""
-    u = np.random.RandomState(5).random_sample((DRAWS, len(idf)))
-    return (-np.log(u) / np.maximum(idf, 1e-6) ** 2).astype(np.float32)
+    A token is drawn in proportion to the square of its information content in the corpus. A last
+    row numbers the tokens in no order, as rare ones would otherwise lead to the same end.
+    """
+    r = np.random.RandomState(5)
+    u = r.random_sample((DRAWS, len(counts)))
+    info = np.log(counts.sum() + 1) - np.log(counts + 1) + 1e-3
+    return np.concatenate([(-np.log(u) / info**2), r.permutation(len(counts))[None]]).astype(np.float32)
 
 
 def _places(kind: np.dtype, draws, end_id: int):
     def run(batches):
-        value = draws.value
+        *value, number = draws.value
+        number = number.astype(np.int64)
         for b in batches:
             out = []
             for x in b.column(1).to_pylist():
                 ids = np.frombuffer(x, kind)[:-1]
                 place = 0
                 for d in value:
-                    place = place << 20 | (int(ids[d[ids].argmin()]) if len(ids) else end_id)
+                    place = place << 20 | (int(number[ids[d[ids].argmin()]]) if len(ids) else 0)
                 out.append(place)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["doc_id", "ids", "place"])
 
     return run
 
 
-def _neighbours(docs: list[np.ndarray], idf: np.ndarray):
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each is there; 16-bit ids are sorted by radix."""
+    ids = np.sort(ids, kind="stable")
+    at = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+    return ids[at], np.diff(np.append(at, len(ids)))
+
+
+def _neighbours(docs: list[np.ndarray]):
     """A function of a document's number and the unused ones: those by BM25 score for all its terms, best first."""
     n = len(docs)
-    terms = [np.unique(d, return_counts=True) for d in docs]
+    terms = [_counted(d) for d in docs]
     t = np.concatenate([x for x, _ in terms])
     tf = np.concatenate([c for _, c in terms]).astype(np.float32)
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in terms])
     size = np.array([len(d) for d in docs], np.float32)
-    score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(1.0, size.mean()))) * idf[t]
     order = np.argsort(t, kind="stable")
-    t, score, owner = t[order], score[order], owner[order]
+    t, tf, owner = t[order], tf[order], owner[order]
     names, first, df = np.unique(t, return_index=True, return_counts=True)
-    place = np.full(len(idf), -1, np.int32)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(1.0, size.mean()))) * np.repeat(idf, df)
+    place = np.full(int(names[-1]) + 1, -1, np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
     frequent = np.argsort(-df, kind="stable")[:DENSE]
     column = np.full(len(names), -1, np.int32)
@@ -221,9 +251,9 @@ def _neighbours(docs: list[np.ndarray], idf: np.ndarray):
     return near
 
 
-def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard; every token is in one of them."""
-    near, used, pieces = _neighbours(docs, idf), np.zeros(len(docs), bool), []
+    near, used, pieces = _neighbours(docs), np.zeros(len(docs), bool), []
     seq = free = 0
 
     def put(i: int, start: int) -> int:
@@ -274,14 +304,14 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray) -> list[tup
     return pieces
 
 
-def _packed(window: int, kind: np.dtype, idf):
+def _packed(window: int, kind: np.dtype):
     def run(batches):
-        base, weights = TaskContext.get().partitionId() << 36, idf.value
+        base = TaskContext.get().partitionId() << 36
         ids, docs, total, seq = [], [], 0, 0
 
         def flush():
             nonlocal seq
-            pieces = pack_shard(docs, window, weights)
+            pieces = pack_shard(docs, window)
             cols = {"doc_id": [ids[p[0]] for p in pieces], "start": [p[1] for p in pieces]}
             cols["ids"] = [docs[i][s : s + n].astype("<u4").tobytes() for i, s, n, _, _ in pieces]
             cols["doc_tokens"] = [len(docs[p[0]]) for p in pieces]
@@ -306,21 +336,20 @@ def _packed(window: int, kind: np.dtype, idf):
     return run
 
 
-def placed(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(doc_id, ids, place) of all documents, their number of tokens, the ids' type and all idf."""
+def placed(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, np.dtype]:
+    """(doc_id, ids, place) of all documents, their number of tokens and the ids' type."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
     source = spark.sparkContext.broadcast(tokenizer)
-    held = stored(rows.mapInArrow(_tokenised(source, end_id), f"doc_id {kind}, ids binary, n long, df binary"), "ids")
-    counts = held.agg(F.count("ids"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = held.filter("df is not null").select("df").mapInArrow(_summed, "part int, df binary").groupBy("part").applyInArrow(_added, "part int, df binary").collect()
-    df = np.concatenate([np.frombuffer(r["df"], np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(1, np.int64)
-    idf = idf_of(df, counts[0])
-    ids_kind = np.dtype("<u2" if Words(tokenizer).size <= 1 << 16 else "<u4")
-    draws = spark.sparkContext.broadcast(_draws(idf))
+    held = stored(rows.mapInArrow(_tokenised(source, end_id), f"doc_id {kind}, ids binary, n long, counts binary"), "ids")
+    tokens = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = held.filter("counts is not null").select("counts").mapInArrow(_summed, "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary").collect()
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(1, np.int64)
+    ids_kind = np.dtype("<u2" if len(counts) <= 1 << 16 else "<u4")
+    draws = spark.sparkContext.broadcast(_draws(counts))
     at = held.filter("ids is not null").select("doc_id", "ids").mapInArrow(_places(ids_kind, draws, end_id), f"doc_id {kind}, ids binary, place long")
-    return at, counts[1], ids_kind, idf
+    return at, tokens, ids_kind
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,8 +365,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_co
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    at, tokens, ids_kind, idf = placed(docs, tokenizer, end_id, id_col, text_col)
+    at, tokens, ids_kind = placed(docs, tokenizer, end_id, id_col, text_col)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
     at = at.withColumn("salt", F.xxhash64("doc_id", "ids")).repartitionByRange(n, "place", "salt").sortWithinPartitions("place", "salt", "doc_id")
-    out = at.select("doc_id", "ids").mapInArrow(_packed(window, ids_kind, spark.sparkContext.broadcast(idf)), f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = at.select("doc_id", "ids").mapInArrow(_packed(window, ids_kind), f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out
