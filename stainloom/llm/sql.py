@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stainloom.llm.quality import BARE_WORDS, BOILERPLATE, LINE_SYMBOLS, LOST_SHARE, SENTENCE_MARK, SYMBOLS
-from stainloom.llm.licenses import RULES, SENTENCES, pattern
+from stainloom.llm.licenses import GAP, RULES, SENTENCES
 from stainloom.llm.urls import TRACKING
 
 SQL = {}
@@ -33,18 +33,24 @@ r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * words_removed <= {LOST_SHARE} * n_words AS kept FROM r"""
 
-_any = lambda kind: "|".join(pattern(i) for _, k, i in RULES if k == kind)
-# This engine's expressions have no look-ahead: sentence ends are marked before the text is cut.
-SQL["op3_license_scan"] = rf"""WITH k(s, k) AS (VALUES {", ".join(f"('{s}', '{k}')" for s, k in SENTENCES.items())}),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-c AS (SELECT doc_id, t, string_split_regex(regexp_replace(t, '[.!?;:]+(\s|$)', chr(1) || '\1', 'g'), '\x01|\n') AS l FROM d),
-p AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM c),
-h AS (SELECT doc_id, i, k FROM p JOIN k ON k.s = trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
-g AS (SELECT doc_id, string_agg(k, '' ORDER BY i) AS sentence_ids, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS sentence_places FROM h GROUP BY 1),
-f AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(sentence_places, '') AS sentence_places FROM documents LEFT JOIN g USING (doc_id))
-SELECT *, array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN regexp_matches(sentence_ids, '{pattern(i)}') THEN '{n}' END" for n, _, i in RULES)}], lambda x: x IS NOT NULL))), ',') AS licenses,
-  CASE WHEN regexp_matches(sentence_ids, '{_any("restricted")}') THEN 'restricted' WHEN regexp_matches(sentence_ids, '{_any("copyleft")}') THEN 'copyleft'
-    WHEN regexp_matches(sentence_ids, '{_any("permissive")}') THEN 'permissive' ELSE 'none' END AS kind FROM f"""
+# The ends of paragraphs are found line by line, and both ways of cutting mark the ends of sentences
+# before the text is cut, as this engine's expressions have no look-ahead.
+_ID = {name: i for i, name in enumerate(SENTENCES, 1)}
+_RULES = sorted(RULES, key=lambda r: len(r[2]), reverse=True)
+_RULE = ["".join(f";{_ID[x]}," + ("" if k == len(r[2]) - 1 else "(?:;\\d+,)??" * GAP) for k, x in enumerate(r[2])) for r in _RULES]
+SQL["op3_license_scan"] = rf"""WITH k(s, k) AS (VALUES {", ".join(f"('{s}', {_ID[n]})" for n, of in SENTENCES.items() for s in of)}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, list_transform(range(1, len(l) + 1), lambda i: l[i] || CASE WHEN i = len(l) THEN '' WHEN ends_with(l[i], ':') OR ends_with(l[i], ': ') OR NOT regexp_matches(l[i + 1], '[\p{{L}}\p{{N}}]') THEN chr(1) ELSE ' ' END) AS a, l FROM d),
+c AS (SELECT doc_id, unnest([array_to_string(a, ''), array_to_string(l, chr(1))]) AS x FROM p),
+e AS (SELECT doc_id, string_split(regexp_replace(x, '([.!?;])\s', '\1' || chr(1), 'g'), chr(1)) AS s FROM c),
+u AS (SELECT doc_id, unnest(s) AS s, unnest(list_transform(range(len(s)), lambda i: i + coalesce(list_sum(list_transform(s[1:i], lambda y: length(y))), 0))) AS pos FROM e),
+h AS (SELECT DISTINCT doc_id, k, CAST(pos + length(u.s) - length(regexp_replace(u.s, '^[^\p{{L}}\p{{N}}]+', '')) AS INTEGER) AS pos FROM u JOIN k ON k.s = trim(regexp_replace(lower(u.s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
+g AS (SELECT doc_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY pos, k) AS ids, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos, k) AS places FROM h GROUP BY 1),
+f AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(places, '') AS sentence_places, regexp_extract_all(CASE WHEN ids IS NULL THEN '' ELSE ';' || replace(ids, ',', ',;') || ',' END, '{"|".join(f"(?:{x})" for x in _RULE)}') AS m FROM documents LEFT JOIN g USING (doc_id)),
+w AS (SELECT *, list_transform(m, lambda x: CASE {" ".join(f"WHEN regexp_full_match(x, '{x}') THEN {i}" for i, x in enumerate(_RULE, 1))} END) AS r FROM f),
+n AS (SELECT *, list_transform(r, lambda x: [{", ".join(f"'{x[0]}'" for x in _RULES)}][x]) AS n, list_transform(r, lambda x: [{", ".join(f"'{x[1]}'" for x in _RULES)}][x]) AS q FROM w)
+SELECT doc_id, sentence_ids, sentence_places, coalesce(array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), ','), '') AS licenses,
+  CASE WHEN list_contains(q, 'restricted') THEN 'restricted' WHEN list_contains(q, 'copyleft') THEN 'copyleft' WHEN list_contains(q, 'permissive') THEN 'permissive' ELSE 'none' END AS kind FROM n"""
 
 SQL["op4_url_filter"] = rf"""WITH u AS (SELECT page_id, url, coalesce(url LIKE '%://%', false) AS ok,
     CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,

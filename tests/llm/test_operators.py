@@ -8,7 +8,6 @@ import pytest
 from stainloom.llm import line_dedup, queries, warc
 from stainloom.llm.exact_dedup import exact_dedup
 from stainloom.llm.language import fit, language_id
-from stainloom.llm.licenses import license_scan
 from stainloom.llm.mixing import mix
 from stainloom.llm.near_dedup import components, near_dedup, shingle_set
 from stainloom.llm.quality import quality_rules
@@ -181,13 +180,6 @@ def test_lines(spark, empty):
     assert line_dedup.line_decisions(empty).count() == 0
 
 
-def test_licenses(spark, empty):
-    t = "Some code.\nReleased under the MIT License.\nYou may not use this. This work is licensed under the GNU General Public License, version 3."
-    got = license_scan(spark.createDataFrame([(1, t), (2, None), (3, "no terms")], "doc_id long, text string")).collect()
-    assert [(r["licenses"], r["kind"]) for r in sorted(got)] == [("GPL-3.0,MIT", "copyleft"), ("", "none"), ("", "none")]
-    assert license_scan(empty).count() == 0
-
-
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/7?x"), (2, "https://b.com/en/1"), (3, "https://www.bad.org/x/?utm_source=a#f"), (4, None), (5, "nothing"), (6, "http://xcom/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
