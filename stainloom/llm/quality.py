@@ -7,44 +7,52 @@ from pyspark.sql import functions as F
 
 from stainloom.llm.common import SPACE, text_of, words_of
 
-#: Phrases of page furniture, in lower case. Fixed values.
+#: Phrases of page furniture in four languages, as words in lower case. Fixed values.
 BOILERPLATE = [
-    "accept all cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript",
-    "lorem ipsum", "privacy policy", "read more", "sign in", "sign up", "skip to content", "subscribe to our newsletter",
-    "terms of service", "terms of use", "use cookies",
+    "accept all cookies", "accept cookies", "add to cart", "all rights reserved", "back to top", "click here", "contact us", "cookie policy", "cookie settings",
+    "enable javascript", "follow us on", "forgot your password", "javascript is disabled", "leave a comment", "log in", "lorem ipsum", "privacy policy", "read more",
+    "share this", "sign in", "sign up", "skip to content", "skip to main content", "subscribe to our newsletter", "terms and conditions", "terms of service", "terms of use", "use cookies",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "in den warenkorb",
+    "jetzt anmelden", "mehr erfahren", "nach oben", "newsletter abonnieren", "nutzungsbedingungen", "passwort vergessen", "weiterlesen", "zum inhalt springen",
+    "abonnez vous à notre newsletter", "accepter les cookies", "ajouter au panier", "aller au contenu", "cliquez ici", "conditions d utilisation", "en savoir plus", "haut de page",
+    "lire la suite", "mentions légales", "mot de passe oublié", "politique de confidentialité", "se connecter", "tous droits réservés",
+    "aceptar cookies", "aceptar todas las cookies", "aviso legal", "añadir al carrito", "haga clic aquí", "iniciar sesión", "ir al contenido", "leer más", "olvidó su contraseña",
+    "política de cookies", "política de privacidad", "suscríbete a nuestro boletín", "todos los derechos reservados", "términos y condiciones", "volver arriba",
 ]
-#: Marks that end a sentence.
-SENTENCE_MARK = "[.!?…。！？]"
+_GAP, _PART = "[^\\p{L}\\p{N}]+", "[\\p{L}\\p{N}]"
+FURNITURE = f"(?<!{_PART})(?:{'|'.join(x.replace(' ', _GAP) for x in BOILERPLATE)})(?!{_PART})"
+#: Words of a line at most that a phrase of page furniture speaks for.
+FURNITURE_WORDS = 40
+#: Words after the last end of a sentence with which a line is still a sentence's.
+OPEN_WORDS = 9
+#: The end of a line that ends a sentence: a mark, closing quotes or brackets after it, and some words at most.
+SENTENCE_END = f"[.!?…:;。！？][\"'”’»“)\\]]*(?:[{SPACE}]+[^{SPACE}]+){{0,{OPEN_WORDS}}}[{SPACE}]*$"
 SYMBOLS = "[#*$%&|<>]"
 MARKS = "[#*$%&|<>»•]"
-BARE_WORDS = 30
 LINE_SYMBOLS = 0.2
 LOST_SHARE = 50
 
 
-def line_reason(line: Column, phrases: Column, symbols: Column) -> Column:
+def line_reason(line: Column, following: Column, phrases: Column, symbols: Column) -> Column:
     """Why a line fails, or null; ``phrases`` tells whether its text has any phrase of page furniture, ``symbols`` any symbol.
 
     navigation: three separators (``|``, ``>``, ``»``, ``•``) or more, at least one in three words;
-    boilerplate: a phrase of page furniture; symbols: more than one in five words with a symbol of
-    mark-up; punctuation: no end of a sentence anywhere in a line of 30 words or more. Lines without words pass.
-    The costly counts are only made for the few lines that a plain search selects.
+    boilerplate: a phrase of page furniture, as whole words, in a line of 40 words or fewer;
+    symbols: more than one in five words with a symbol of mark-up; punctuation: a line whose last
+    10 words or more end no sentence, unless the line ``following`` it begins with a lower-case
+    letter and so continues it. Lines without words pass.
     """
     n = F.regexp_count(line, F.lit(f"[^{SPACE}]+"))
     bars = F.regexp_count(line, F.lit("[|>»•]"))
     # A word is entered at its start only, so that the search is linear in very long words too.
     marks = F.regexp_count(line, F.lit(f"(?<![^{SPACE}])[^{SPACE}#*$%&|<>]*+{SYMBOLS}[^{SPACE}]*+"))
     some = symbols & line.rlike(MARKS)
-    low = F.lower(line)
-    furniture = low.contains(BOILERPLATE[0])
-    for x in BOILERPLATE[1:]:
-        furniture = furniture | low.contains(x)
-    ends = line.contains(".") | line.rlike(SENTENCE_MARK)
+    ends = line.endswith(".") | line.rlike(SENTENCE_END) | F.coalesce(following.rlike(f"^[{SPACE}]*\\p{{Ll}}"), F.lit(False))
     return (
         F.when(some & (bars >= 3) & (bars * 3 >= n), "navigation")
-        .when(phrases & furniture, "boilerplate")
+        .when(phrases & F.lower(line).rlike(FURNITURE) & (n <= FURNITURE_WORDS), "boilerplate")
         .when(some & (marks > n * LINE_SYMBOLS), "symbols")
-        .when(~ends & (n >= BARE_WORDS), "punctuation")
+        .when(~ends & (n > OPEN_WORDS), "punctuation")
     )
 
 
@@ -77,12 +85,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Windows are compared by 64-bit hash, sorted with their places, in n log n steps.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"), *extra)
-    d = d.select(*extra, "doc_id", "_t", fenced(words_of(F.col("_t"))).alias("_w"), fenced(F.split("_t", "\n", -1)).alias("_l"), F.lower("_t").alias("_low"))
-    furniture = F.col("_low").contains(BOILERPLATE[0])
-    for x in BOILERPLATE[1:]:
-        furniture = furniture | F.col("_low").contains(x)
+    d = d.select(*extra, "doc_id", "_t", fenced(words_of(F.col("_t"))).alias("_w"), fenced(F.split("_t", "\n", -1)).alias("_l"))
     d = d.select(
-        *extra, "doc_id", "_t", "_w", "_l", fenced(furniture).alias("_furniture"), fenced(F.col("_t").rlike(MARKS)).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
+        *extra, "doc_id", "_t", "_w", "_l", fenced(F.lower("_t").rlike(FURNITURE)).alias("_furniture"), fenced(F.col("_t").rlike(MARKS)).alias("_marked"), F.size("_w").cast("long").alias("n_words"),
         F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"), fenced(_windows(F.col("_w"))).alias("_h"),
     )
     d = d.withColumn("_some", F.size(F.array_distinct("_h")) < F.size("_h"))
@@ -93,7 +98,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.withColumn("_p", fenced(F.when(F.col("_some"), F.array_sort(F.array_compact(at)))))
     reach = F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3))))
     d = d.withColumn("n_repeat_words", F.when(F.col("_some"), F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")))
-    d = d.withColumn("_j", fenced(F.transform("_l", lambda x: F.struct(x.alias("x"), line_reason(x, F.col("_furniture"), F.col("_marked")).alias("why")))))
+    d = d.withColumn("_j", fenced(F.transform("_l", lambda x, i: F.struct(x.alias("x"), line_reason(x, F.get("_l", i + 1), F.col("_furniture"), F.col("_marked")).alias("why")))))
     line = lambda j: j["x"]
     bad = F.transform(F.filter("_j", lambda j: j["why"].isNotNull()), line)
     good = F.transform(F.filter("_j", lambda j: j["why"].isNull()), line)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stainloom.llm.quality import BARE_WORDS, BOILERPLATE, LINE_SYMBOLS, LOST_SHARE, SENTENCE_MARK, SYMBOLS
+from stainloom.llm.quality import BOILERPLATE
 from stainloom.llm.licenses import GAP, RULES, SENTENCES
 from stainloom.llm.urls import TRACKING
 
@@ -18,20 +18,21 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w, string_split(t, chr(
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w)-1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, range(3) r(o) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(l) AS x FROM w),
-lf AS (SELECT doc_id, x, len(regexp_extract_all(x, '{_W}')) AS n FROM lines),
+lines AS (SELECT doc_id, unnest(l) AS x, unnest(l[2:] || ['']) AS nx FROM w),
+lf AS (SELECT doc_id, x, nx, len(regexp_extract_all(x, '{_W}')) AS n, ' ' || regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' AS y FROM lines),
 lr AS (SELECT doc_id, x, n, CASE WHEN n = 0 THEN false
   WHEN len(regexp_extract_all(x, '[|>\x{{00bb}}\x{{2022}}]')) >= 3 AND len(regexp_extract_all(x, '[|>\x{{00bb}}\x{{2022}}]')) * 3 >= n THEN true
-  WHEN regexp_matches(lower(x), '{"|".join(BOILERPLATE)}') THEN true
-  WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]*{SYMBOLS}[^\x20\x09-\x0D]*')) > n * {LINE_SYMBOLS} THEN true
-  WHEN n >= {BARE_WORDS} AND NOT regexp_matches(x, '{SENTENCE_MARK}') THEN true ELSE false END AS bad FROM lf),
+  WHEN n <= 40 AND ({" OR ".join(f"contains(y, ' {x} ')" for x in BOILERPLATE)}) THEN true
+  WHEN len(list_filter(regexp_extract_all(x, '{_W}'), lambda u: u <> translate(u, '#*$%&|<>', ''))) * 5 > n THEN true
+  WHEN n >= 10 AND NOT regexp_matches(rtrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?\x{{2026}}:;\x{{3002}}\x{{ff01}}\x{{ff1f}}]["''\x{{201d}}\x{{2019}}\x{{bb}}\x{{201c}})\]]*([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{0,9}}$')
+    AND NOT regexp_matches(ltrim(nx, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^\p{{Ll}}') THEN true ELSE false END AS bad FROM lf),
 ls AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) AS dup, count(*) FILTER (bad) AS nb,
   CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS wb FROM lr GROUP BY 1),
 r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-  CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols, dup AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, dup AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
   nb AS n_lines_removed, wb AS words_removed FROM w JOIN ls USING (doc_id) LEFT JOIN cov USING (doc_id))
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * words_removed <= {LOST_SHARE} * n_words AS kept FROM r"""
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * words_removed <= n_words AS kept FROM r"""
 
 # The ends of paragraphs are found line by line, and both ways of cutting mark the ends of sentences
 # before the text is cut, as this engine's expressions have no look-ahead.
