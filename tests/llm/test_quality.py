@@ -12,7 +12,7 @@ LINES = [
 
 def test_rules_by_line(spark):
     """Each line among clean ones; a line that the next one continues stays."""
-    filler = [f"Sentence {i} of a clean text has eight words." for i in range(30)]
+    filler = [" ".join(f"{x}{i}" for x in "Every clean sentence has its own words here".split()) + "." for i in range(30)]
     text = "\n".join(x for i, (line, _) in enumerate(LINES) for x in ([line] if i == 16 else [line, filler[i]]))
     want = "\n".join(x for i, (line, stays) in enumerate(LINES) for x in ([line] if i == 16 else [line, filler[i]] if stays else [filler[i]]))
     docs = spark.createDataFrame([(1, text, "kept", "x")] * 2 + [(None, f"{LONG}\n" * 9, None, None)], "doc_id long, text string, mine string, _l string")
