@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stainloom.operators.regions import places
+
 #: Suffixes of image files. Fixed values.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 
@@ -35,8 +37,12 @@ def pairs(images: DataFrame, mats: DataFrame) -> DataFrame:
 
 
 def with_metadata(tasks: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Left join on trimmed keys; blanks where metadata has none, rows with blank keys never match."""
+    """Left join on trimmed keys; blanks where metadata has none, rows with blank keys never match.
+
+    Of rows that repeat a key the last counts, in the order of the metadata's partitions.
+    """
     m = metadata.select(F.trim(key).alias(key), *[F.trim(c).alias(c) for c in columns]).filter(F.col(key) != "")
+    m = m.withColumn("_n", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*columns), "_n").alias("_m")).select(key, "_m.*")
     return tasks.join(m, key, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
 
 
@@ -65,8 +71,7 @@ def finite(value: str) -> Column:
 
 def crops(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pixels of each padded box; black outside the nucleus."""
-    p, keys = pixels.withColumnRenamed("label", "at"), ["pr0", "pr1", "pc0", "pc1"]
-    j = p.join(boxes.select("tile", "label", *keys), "tile").filter(F.col("row").between(F.col("pr0"), F.col("pr1")) & F.col("col").between(F.col("pc0"), F.col("pc1")))
+    j = pixels.withColumnRenamed("label", "at").join(places(boxes), ["tile", "row", "col"])
     inside = F.col("at") == F.col("label")
     return j.select("tile", "label", (F.col("row") - F.col("pr0")).alias("row"), (F.col("col") - F.col("pc0")).alias("col"), *[F.when(inside, F.col(c)).otherwise(0).alias(c) for c in "rgb"])
 

@@ -39,8 +39,12 @@ def hull_area(rows: np.ndarray, cols: np.ndarray) -> int:
 
     Only the first and last pixel of each row can carry corners, so the others are left out.
     """
-    ends = pd.DataFrame({"r": rows, "c": cols}).groupby("r")["c"].agg(["min", "max"]).reset_index().to_numpy()
+    top = rows.min()
+    low, high = np.full(rows.max() - top + 1, np.iinfo(np.int64).max), np.full(rows.max() - top + 1, -1)
+    np.minimum.at(low, rows - top, cols)
+    np.maximum.at(high, rows - top, cols)
     steps = ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))
+    ends = [(r + int(top), a, b) for r, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b >= 0]
     corners = hull([(float(r + dr), float(c + dc)) for r, *cs in ends for c in cs for dr, dc in steps])
     if len(corners) < 3:
         return len(rows)

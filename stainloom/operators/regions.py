@@ -18,13 +18,18 @@ def boxes(pixels: DataFrame, side: int, padding: int = PADDING) -> DataFrame:
     return b.withColumns({"pr0": low("r0"), "pc0": low("c0"), "pr1": high("r1"), "pc1": high("c1")})
 
 
+def places(boxes: DataFrame) -> DataFrame:
+    """A row for each pixel of each padded box, so that pixels meet boxes at their place and not all those of a tile."""
+    line = lambda a, b: F.explode(F.sequence(a, b))
+    b = boxes.select("tile", "label", "pr0", "pc0", "pr1", "pc1", line("pr0", "pr1").alias("row"))
+    return b.select("*", line("pc0", "pc1").alias("col"))
+
+
 def patches(pixels: DataFrame, side: int, padding: int = PADDING) -> DataFrame:
     """Pixels of each padded patch: tile, label, row, col, inside, v (grey level, 0 outside), r, g, b.
 
-    Boxes are few per tile and meet the pixels by tile, which both sides are already dealt by.
+    Boxes are spread to their places first, so a tile with many nuclei makes no more rows than its patches have pixels.
     """
-    p = pixels.withColumnRenamed("label", "at")
-    b = boxes(pixels, side, padding).select("tile", "label", "pr0", "pr1", "pc0", "pc1")
-    j = p.join(b, "tile").filter(F.col("row").between(F.col("pr0"), F.col("pr1")) & F.col("col").between(F.col("pc0"), F.col("pc1")))
+    j = pixels.withColumnRenamed("label", "at").join(places(boxes(pixels, side, padding)), ["tile", "row", "col"])
     inside = F.col("at") == F.col("label")
     return j.select("tile", "label", "row", "col", inside.alias("inside"), F.when(inside, F.col("gray")).otherwise(0).alias("v"), "r", "g", "b", "pr0", "pc0", "pr1", "pc1")

@@ -77,6 +77,23 @@ def parse(data: bytes) -> list[tuple]:
     return [x for x in found if x]
 
 
+def choose(variables: list[tuple], key: str | None = None) -> tuple[str, np.ndarray]:
+    """Name and label map, as in label_maps(), of the variables of one file."""
+    fit = [(name, v.reshape((rows, cols), order="F")) for name, rows, cols, v, _ in variables if v is not None and v.size and (key is None or name == key)]
+    fit = [(name, np.rint(v)) for name, v in fit if np.isfinite(v).all() and (np.abs(v - np.rint(v)) <= 1e-6).all() and np.rint(v).min() >= 0 and np.rint(v).max() < 2**32]
+    if not fit:
+        raise ValueError(f"no label map {key!r}" if key else "no label map")
+    place = {name: i for i, name in enumerate(MAP_NAMES)}
+    name, v = min(fit, key=lambda x: (place.get(x[0], len(place)), 0 if x[0] in place else -len(np.unique(x[1])), x[0]))
+    return name, v.astype(np.uint32)
+
+
+def types_of(variables: list[tuple], key: str) -> dict[int, str] | None:
+    """Nucleus types by position from 1; None where the file has no texts under the key."""
+    found = [texts for name, _, _, _, texts in variables if name == key and texts is not None]
+    return {i: (t or "").strip() for i, t in enumerate(found[0], 1)} if found else None
+
+
 def read_mat(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """A row for each numeric or text variable: path, name, rows, cols, values (by columns) or texts.
 
