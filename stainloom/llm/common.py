@@ -29,16 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing names any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do puts off
+    while the disks of the executors fill.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder; for small tables that are read again."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    swept(df.sparkSession)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), but as compressed Parquet, for larger tables; the files stay until the folder goes."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    swept(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -1,11 +1,13 @@
-"""Line dedup by a deletion-neighbourhood join, with words as the letters.
-
-A line is a repeat if an earlier line, by document and place, equals it up to white space or
-differs by one word put in, left out or changed. Only lines of MIN_WORDS words or more take part in
-the second. For the join each line emits itself and every line that lacks one of its words, as
-hashed keys. Equal keys with the same gap are lines that differ in that word; a key without a gap
-that meets one with a gap is a word put in. Each group keeps its earliest line alone, a minimum
-that is computed by partial aggregates, so a frequent key makes no pairs.
+"""Line dedup by a deletion-neighbourhood join, with an edit bound of one letter.
+
+The letters of a line are its words, or its characters if it has fewer than WORDS words. A line is
+a repeat if an earlier line, by document and place, equals it up to white space, or has letters of
+the same kind and differs by one of them put in, left out or changed. Lines of fewer than LETTERS
+letters have a bound of none, as nearly all of them would be within one edit of each other. For the
+join each line emits itself and every line that lacks one of its letters, as hashed keys. Equal keys
+with the same gap are lines that differ in that letter; a key without a gap that meets one with a
+gap is a letter put in. Each group keeps its earliest line alone, a minimum that is computed by
+partial aggregates, so a frequent key makes no pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 
 from stainloom.llm.common import cut, join_counted, maybe_in, stored, text_of, words_of
 
-MIN_WORDS = 5
+#: Words of the shortest line whose letters are words.
+WORDS = 5
+#: Letters of the shortest line that is compared within the edit bound.
+LETTERS = 5
 
 
 def _key(words: Column) -> Column:
@@ -29,6 +34,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "line_no", words_of(F.col("_x")).alias("words")).filter(F.size("words") > 0)
 
 
+def _letters(words: Column) -> Column:
+    """Words, or characters that are marked so as to equal no word."""
+    return F.when(F.size(words) >= WORDS, words).otherwise(F.transform(F.split(F.array_join(words, " "), ""), lambda c: F.concat(F.lit("\x00"), c)))
+
+
 def _halves(words: Column) -> Column:
     """Keys of the first and last halves: two lines within one word of each other share one at least.
 
@@ -53,11 +63,12 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     place = F.struct("doc_id", "line_no")
     lines = lines_of(docs, id_col, text_col)
-    n = F.size("words")
-    keyed = lines.select(place.alias("place"), n.alias("n"), _key(F.col("words")).alias("k"), F.when(n >= MIN_WORDS, _halves(F.col("words"))).alias("halves"))
+    lines = lines.select(place.alias("place"), _key(F.col("words")).alias("k"), _letters(F.col("words")).alias("l"))
+    n = F.size("l")
+    keyed = lines.select("place", "k", n.alias("n"), F.when(n >= LETTERS, _halves(F.col("l"))).alias("halves"))
     # One row for each different line.
     unique = stored(keyed.groupBy("k").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
-    long = unique.filter(F.col("n") >= MIN_WORDS)
+    long = unique.filter(F.col("n") >= LETTERS)
     halves = long.select("k", F.explode("halves").alias("half"))
     shared = cut(halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1"))
     hot = max(1000, unique.count() // 1000)
@@ -74,7 +85,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = maybe_in(texts, known, wanted, known, wanted.count(), "_may").filter("_may")
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["doc_id"], F.split("_t", "\n", -1).alias("_l"), F.explode("_at").alias("a"))
     found = found.select("a.k", F.struct("doc_id", "a.line_no").alias("place"), words_of(F.get("_l", F.col("a.line_no"))).alias("words")).filter(_key(F.col("words")) == F.col("k"))
-    found = stored(found.dropDuplicates(["k"]), "candidates")
+    found = stored(found.dropDuplicates(["k"]).withColumn("words", _letters(F.col("words"))), "candidates")
     w, size = F.col("words"), F.size("words")
     each = found.select("place", "words", F.explode(F.sequence(F.lit(0), size)).alias("gap"))
     less = F.when(F.col("gap") == 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(F.col("gap") - 1, F.lit(0))), F.slice(w, F.col("gap") + 1, size)))
@@ -96,13 +107,15 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = first.unionByName(swap).groupBy("place").agg(F.min("by").alias("by"))
     # Verified on the words themselves.
     a, b = found.select("place", F.col("words").alias("wa")), found.select(F.col("place").alias("by"), F.col("words").alias("wb"))
-    links = cut(links.join(a, "place").join(b, "by").filter(within_one("wa", "wb")).select("place", "by"))
+    # Many lines can be near one, whose words then go to them.
+    b = b.join(links.groupBy("by").agg(F.count("*").alias("c")), "by")
+    links = cut(join_counted(links.join(a, "place"), b, "by", "c", hot).filter(within_one("wa", "wb")).select("place", "by"))
     out = unique.select("place").join(links, "place", "left")
     return out.select("place.doc_id", "place.line_no", F.col("by").isNull().alias("kept"), F.col("by.doc_id").alias("by_doc"), F.col("by.line_no").alias("by_line"))
 
 
 def within_one(a: str, b: str) -> Column:
-    """Whether two lists of words differ by one word at most: all but one of the longer are shared from its ends."""
+    """Whether two lists of letters differ by one at most: all but one of the longer are shared from its ends."""
     na, nb = F.size(a), F.size(b)
     pre = F.expr(f"aggregate(zip_with(`{a}`, `{b}`, (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, x) -> named_struct('n', s.n + int(s.on and x), 'on', s.on and x), s -> s.n)")
     suf = F.expr(f"aggregate(zip_with(reverse(`{a}`), reverse(`{b}`), (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, x) -> named_struct('n', s.n + int(s.on and x), 'on', s.on and x), s -> s.n)")

@@ -40,7 +40,8 @@ CLUSTER = LEAF
 LEVELS = 3
 #: Ways, by coordinates of their own, that a node is branched at a level.
 REPEATS = 2
-_words: dict = {}
+#: Words of a task's cache of hashes; a memory bound, without effect on the results.
+CACHE = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,19 +50,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str, k: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct k-word shingles; of fewer words, of all of them as one."""
+def shingle_set(text: str, k: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct k-word shingles; of fewer words, of all of them as one.
+
+    ``known`` holds the hashes of words between texts, as long as its owner keeps it.
+    """
     import xxhash
 
+    known = {} if known is None else known
+
     words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
     try:
-        h = [_words[w] for w in words]
+        h = [known[w] for w in words]
     except KeyError:
-        if len(_words) > 500_000:
-            _words.clear()
-        h = [_words.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
+        if len(known) > CACHE:
+            known.clear()
+        h = [known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
     h = np.array(h, np.uint64)
     k = min(k, len(h))
     s = np.full(len(h) - k + 1, k, np.uint64)
@@ -87,18 +93,19 @@ def _features(k: int):
         import xxhash
 
         a, b = _coefficients()
+        known: dict[bytes, int] = {}
         trees = np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
             n, fp, sig, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
-                s = shingle_set(t, k)
+                s = shingle_set(t, k, known)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 m = minhashes(s, a, b)
                 sig.append(((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
                 keys.append(_mix(m[:TREES].astype(np.uint64) | trees).view(np.int64).tolist() if len(s) else [])
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "sig", "keys"])
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "fp", "sig", "keys"])
 
     return run
 
@@ -254,8 +261,9 @@ def _confirm(percent: int):
 
 def _sets(k: int):
     def run(batches):
+        known: dict[bytes, int] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k, known).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
 
     return run
 
@@ -267,21 +275,23 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregate and a join, and nothing is gathered on the driver but a count.
     """
     e = cut(links.select("a", "b").filter("a <> b").distinct())
-    seen = None
+    n, seen = e.count(), None
     for _ in range(max_rounds):
+        hot = max(1000, 2 * n // 1000)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("m", "a"))
+        # The hub of a large star is joined by broadcast, so its edges stay where they are.
+        large = join_counted(both, low, "a", "c", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Every edge now goes from its larger end to a smaller one.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = join_counted(down, low, "a", "c", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == seen:
-            break
-        seen = now
-    return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+        n, total = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        if (n, total) == seen:
+            return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+        seen = (n, total)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _block_pairs(group: Column, member: Column, size: Column, most: int) -> Column:
@@ -301,14 +311,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids are whole numbers. Returns for every row: doc_id, n_shingles, component_id (the smallest
     id of the component), kept (whether it is that one). Words are parted by ASCII white space and
     A-Z are lower-cased. Null texts and texts without words are linked with nothing. A null id has
-    a null component and stays. Rows that repeat an id are taken for the same document. An empty
-    table gives no rows.
+    a null component and stays. Rows that repeat an id are one document: its links are those of the
+    texts that equal another document's, and of the one with the smallest hash. Other columns are
+    ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    feats = stored(rows.mapInArrow(_features(shingle), "doc_id long, n long, fp binary, sig binary, keys array<long>"), "features")
+    feats = stored(rows.withColumn("th", F.xxhash64("t")).mapInArrow(_features(shingle), "doc_id long, th long, n long, fp binary, sig binary, keys array<long>"), "features")
     some = feats.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "keys", "sig"))
+    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("n", "keys", "sig"), "th").alias("r")).select("doc_id", "r.n", "r.keys", "r.sig"))
     hot = max(LEAF, reps.count() // 1000)
     larges: list[DataFrame] = []
 
@@ -346,7 +357,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = found.select("a", "b").distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = rows.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")

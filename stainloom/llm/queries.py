@@ -56,7 +56,7 @@ def op6_warc(spark, sf_dir):
     warc.write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
     out = warc.read_archives(spark, path)
-    return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+    return out.select(F.col("page_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to"))
 
 
 def tokenizer_source() -> str:
@@ -85,7 +85,7 @@ def op9_quality_rules(spark, sf_dir):
 
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     dictionaries = fit(docs.filter(~held))
     out = language_id(docs, dictionaries)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "lang")

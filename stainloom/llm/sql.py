@@ -68,10 +68,10 @@ FROM c LEFT JOIN m USING (page_id, url) LEFT JOIN bad ON c.canonical = bad.canon
 _LINES = rf"""l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
 l AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, doc_id * 1000000 + line_no AS place, regexp_extract_all(x, '{_W}') AS w FROM l0),
 f AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM l WHERE len(w) > 0),
-u AS (SELECT s, min(place) AS place, any_value(w) AS w, any_value(n) AS n FROM f GROUP BY s),
-v AS (SELECT place, 0 AS gap, s AS v FROM u WHERE n >= 5 UNION ALL
-  SELECT place, i, array_to_string(list_concat(w[1:i-1], w[i+1:]), ' ') FROM (SELECT place, w, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 5)),
-e AS (SELECT DISTINCT a.place FROM v a JOIN v b ON a.v = b.v AND b.place < a.place AND (a.gap = b.gap AND a.gap > 0 OR a.gap = 0 AND b.gap > 0 OR a.gap > 0 AND b.gap = 0)),
+u AS (SELECT s, min(place) AS place, any_value(CASE WHEN n >= 5 THEN w ELSE string_split(s, '') END) AS w, any_value(n >= 5) AS kd FROM f GROUP BY s),
+v AS (SELECT place, kd, 0 AS gap, array_to_string(w, chr(1)) AS v FROM u WHERE len(w) >= 5 UNION ALL
+  SELECT place, kd, i, array_to_string(list_concat(w[1:i-1], w[i+1:]), chr(1)) FROM (SELECT place, kd, w, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 5)),
+e AS (SELECT DISTINCT a.place FROM v a JOIN v b ON a.v = b.v AND a.kd = b.kd AND b.place < a.place AND (a.gap = b.gap AND a.gap > 0 OR a.gap = 0 AND b.gap > 0 OR a.gap > 0 AND b.gap = 0)),
 k AS (SELECT f.doc_id, f.line_no, e.place IS NULL AS kept FROM f JOIN u ON f.place = u.place LEFT JOIN e ON e.place = f.place),
 g AS (SELECT doc_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_edited, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (kept) AS kept_lines FROM k GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1)"""

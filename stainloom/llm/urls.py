@@ -61,9 +61,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     key = F.col("canonical")
     asked = cut(maybe_in(rows, key, bad, key, bad.count(), "_maybe", max_bits))
     maybe = asked.filter("_maybe")
+    n = maybe.count()
     groups = maybe.groupBy("canonical").agg(F.count("*").alias("_n"))
     groups = groups.join(bad.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    met = join_counted(maybe, groups, "canonical", "_n", 10_000)
+    met = join_counted(maybe, groups, "canonical", "_n", max(1000, n // 1000))
     out = met.drop("_n").unionByName(asked.filter("not _maybe").withColumn("listed", F.lit(False)))
     said = F.coalesce("_v", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "canonical", "listed")

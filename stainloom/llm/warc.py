@@ -1,8 +1,9 @@
 """WARC archives: written as plain text files, read back by verified chains of record boundaries.
 
-A reader can't trust the magic alone, since payloads may hold it. Tasks therefore emit for every
-magic the offset that its header names as the next record's. Pointer jumping from the start of
-each file then keeps the records that a chain of true lengths reaches.
+A reader can't trust the magic alone, since payloads may hold it. Archives are read by byte ranges
+that are cut at every magic. Tasks emit for each magic the offset that its header names as the next
+record's. Pointer jumping, first within a range and then between ranges, keeps the records that a
+chain of true lengths reaches from the start of a file; the others are parts of payloads.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stainloom.llm.common import cut, join_counted, maybe_in
@@ -65,98 +66,211 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.withColumn("_block", block).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def _fields(data: bytes, at: int, end: int) -> dict[bytes, bytes]:
-    """Fields of the header of a magic, whose lines end at ``end``."""
-    lines = data[at + len(MAGIC) : end].split(b"\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
+def _fields(header: bytes) -> dict[bytes, bytes]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in header.split(b"\r\n"))}
 
 
-def _length(data: bytes, low: int, end: int) -> tuple[int, bytes]:
-    """Where the last Content-Length line of a header begins, not before ``low``, and its value; -1 for none."""
-    stop = end
-    while stop >= low:
-        line = max(data.rfind(b"\r\n", low, stop) + 2, low)
-        k, _, v = data[line:stop].partition(b":")
+def _size(text: bytes) -> tuple[int, int]:
+    """Of a text behind a magic, where its first empty line begins and the last Content-Length before it; -1 for none.
+
+    A header ends at the first empty line, however far that is.
+    """
+    end = text.find(BREAK)
+    stop = len(text) if end < 0 else end
+    while stop > 0:
+        line = text.rfind(b"\r\n", 0, stop) + 2
+        line = line if line > 1 else 0
+        k, _, v = text[line:stop].partition(b":")
         if k.strip().lower() == b"content-length":
-            return line, v.strip()
+            return end, int(v) if v.strip().isdigit() else -1
         stop = line - 2
-    return -1, b""
+    return end, -1
 
 
-def _candidates(data: bytes):
-    """(offset, successor's offset, header's end, block's bounds) of every magic with a header.
-
-    A header ends at the first empty line, however far that is. Magics before the same end share
-    it and the last length before it, so a file is looked through once, whatever its payloads hold.
-    """
-    at, end = data.find(MAGIC), -1
-    while at >= 0:
-        if end < at:
-            end = data.find(BREAK, at)
-            if end < 0:
-                return
-            line, n = _length(data, at + len(MAGIC), end)
-        if line >= at + len(MAGIC) and n.isdigit():
-            begin = end + len(BREAK)
-            yield at, begin + int(n) + len(BREAK), end, (begin, begin + int(n))
-        at = data.find(MAGIC, at + 1)
-
-
-def _links(batches):
+def _numbered(batches):
+    """Rows of texts with their number in their byte range: (path, block, i, text)."""
+    at, i = None, 0
     for b in batches:
-        for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data = data.as_py()
-            found = [(at, to) for at, to, _, _ in _candidates(data)]
-            cols = [pa.array([path] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["path", "at", "next"])
+        for path, block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            i = i + 1 if at == (path, block) else 0
+            at = (path, block)
+            yield path, block, i, text.as_py()
+
+
+def _batched(rows, names: list[str], kinds: list, most: int = 1 << 24):
+    """Record batches of rows, of some 2000 rows or ``most`` bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, bytes))
+        if len(held) >= 2000 or size > most:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names)
+
+
+def _marks(batches):
+    """Of each text its length with a magic, its first empty line and the length before it (null for none)."""
 
+    def rows():
+        for path, block, i, text in _numbered(batches):
+            end, n = _size(text)
+            yield path, block, i, len(text) + len(MAGIC), None if end < 0 else end, None if n < 0 else n
 
-def reachable(at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Which offsets a chain from offset 0 reaches, by pointer jumping."""
+    yield from _batched(rows(), ["path", "block", "i", "size", "empty", "n"], [pa.string(), *[pa.int64()] * 5])
+
+
+def jumped(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The first offset outside that the chain of each offset leads to, by pointer jumping; chains go forward."""
     order = np.argsort(at)
-    at, to = at[order], to[order]
-    k = np.minimum(np.searchsorted(at, to), len(at) - 1)
-    jump = np.where(at[k] == to, k, np.arange(len(at)))
-    seen = at == 0
-    for _ in range(int(len(at)).bit_length()):
-        seen[jump[seen]] = True
-        jump = jump[jump]
-    out = np.zeros(len(at), bool)
-    out[order] = seen
+    at, end = at[order], to[order].copy()
+    for _ in range(int(len(at)).bit_length() + 1):
+        k = np.minimum(np.searchsorted(at, end), len(at) - 1)
+        inside = at[k] == end
+        if not inside.any():
+            break
+        end = np.where(inside, end[k], end)
+    out = np.empty_like(end)
+    out[order] = end
     return out
 
 
-def _chain(pdf):
-    return pdf.loc[reachable(pdf["at"].to_numpy(), pdf["next"].to_numpy()), ["path", "at"]]
+def _ends(t: pa.Table) -> pa.Table:
+    """A range's candidates with the offset at which their chains leave it."""
+    at, to = t.column("at").to_numpy(), t.column("next").to_numpy()
+    return t.append_column("leaves", pa.array(jumped(at, to)))
 
 
-def _records(batches):
-    names = ["path", "at", "page_id", "record_type", "refers_to", "url", "payload", "payload_bytes", "payload_digest"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
-    urn = lambda x: re.sub(rb"^<urn:page:|>$", b"", x).decode() if x is not None else None
-    for b in batches:
-        for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data, rows = data.as_py(), []
-            found = list(_candidates(data))
-            true = reachable(np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)) if found else []
-            for at, _, stop, (begin, end) in (x for x, ok in zip(found, true, strict=True) if ok):
-                f = _fields(data, at, stop)
-                head = data.find(BREAK, begin, end)
-                payload = data[head + len(BREAK) : end] if head >= 0 else b""
-                kind = f.get(b"warc-type", b"").decode()
-                if kind == "revisit":
-                    payload, n, digest = None, int(f.get(b"x-payload-length", b"0")), f.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:")
-                else:
-                    n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                rows.append((path, at, urn(f.get(b"warc-record-id")), kind, urn(f.get(b"warc-refers-to")), f.get(b"warc-target-uri", b"").decode(), payload, n, digest))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _reached(t: pa.Table) -> pa.Table:
+    """A range's candidates on the chain from where it is entered."""
+    at, to, enter = t.column("at").to_numpy(), t.column("next").to_numpy(), t.column("enter").to_numpy()[0]
+    step = dict(zip(at.tolist(), to.tolist(), strict=True))
+    keep, x = set(), int(enter)
+    while x in step:
+        keep.add(x)
+        x = step[x]
+    return t.filter(pa.array([a in keep for a in at.tolist()], pa.bool_())).select(["path", "block", "i", "at", "next"])
+
+
+def chained(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records (path, block, i, at, next) that the chains of files reach, and the places of all texts.
+
+    texts has path, block, value: what lies between magics, in order. Only numbers are shuffled: a
+    range's in one task, then one row of each range that a chain enters.
+    """
+    marks = cut(texts.mapInArrow(_marks, "path string, block long, i long, size long, empty long, n long"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marks.groupBy("path", "block").agg(F.sum("size").alias("s"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("s").over(before("path").orderBy("block")), F.lit(0)).alias("base"))
+    # The first text of a file has no magic before it, so a text's magic begins before what the sums say.
+    start = F.col("base") + F.coalesce(F.sum("size").over(before("path", "block").orderBy("i")), F.lit(0)) - len(MAGIC)
+    places = cut(marks.join(blocks, ["path", "block"]).select("path", "block", "i", "size", "empty", "n", start.alias("at")))
+    # A header can hold magics too: it ends at the first empty line of this text or a later one.
+    # Both windows grow row by row, the second one from the file's end.
+    so_far = lambda by: Window.partitionBy("path").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last(F.when(F.col("n").isNotNull(), F.struct("at", "n")), True).over(so_far("at"))
+    ends = F.when(F.col("empty").isNotNull(), F.struct((F.col("at") + len(MAGIC) + F.col("empty")).alias("end"), "known"))
+    found = places.withColumn("known", known).withColumn("head", F.last(ends, True).over(so_far(F.desc("at"))))
+    found = found.filter("at >= 0 and head.known.at >= at").select("path", "block", "i", "at", (F.col("head.end") + 2 * len(BREAK) + F.col("head.known.n")).alias("next"))
+    kinds = "path string, block long, i long, at long, next long"
+    found = cut(found.groupBy("path", "block").applyInArrow(_ends, f"{kinds}, leaves long"))
+    # Between ranges: an entry leads to the entry of another range, in a logarithmic number of rounds.
+    jump = found.select("path", "at", F.col("leaves").alias("to"))
+    seen = cut(jump.filter("at = 0").select("path", "at"))
+    n = -1
+    while n != (now := seen.count()):
+        n = now
+        seen = cut(seen.join(jump, ["path", "at"]).select("path", F.col("to").alias("at")).join(jump.select("path", "at"), ["path", "at"], "left_semi").unionByName(seen).distinct())
+        if n < seen.count():
+            to = jump.select("path", F.col("at").alias("to"), F.col("to").alias("far"))
+            jump = cut(jump.join(to, ["path", "to"], "left").select("path", "at", F.coalesce("far", "to").alias("to")))
+    enter = found.join(seen, ["path", "at"]).groupBy("path", "block").agg(F.min("at").alias("enter"))
+    return found.join(enter, ["path", "block"]).groupBy("path", "block").applyInArrow(_reached, kinds), places
+
+
+def _record(text: bytes) -> tuple:
+    """page_id, record_type, refers_to, url, payload, payload_bytes, payload_digest of a whole record behind its magic."""
+    stop, n = _size(text)
+    f, begin = _fields(text[:stop]), stop + len(BREAK)
+    end = begin + n
+    head = text.find(BREAK, begin, end)
+    payload = text[head + len(BREAK) : end] if head >= 0 else b""
+    urn = lambda x: re.sub(rb"^<urn:page:|>$", b"", x).decode(errors="replace") if x is not None else None
+    kind = f.get(b"warc-type", b"").decode(errors="replace")
+    if kind == "revisit":
+        payload, size, digest = None, int(f.get(b"x-payload-length", b"0")), f.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:")
+    else:
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return urn(f.get(b"warc-record-id")), kind, urn(f.get(b"warc-refers-to")), f.get(b"warc-target-uri", b"").decode(errors="replace"), payload, size, digest
+
+
+RECORD = "page_id string, record_type string, refers_to string, url string, payload binary, payload_bytes long, payload_digest string"
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_KINDS = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]] for x in RECORD.split(", ")]
+
+
+def _whole(batches):
+    """The records that lie in one text: path, block, i and the record."""
+
+    def rows():
+        for path, block, i, text in _numbered(batches):
+            end, n = _size(text)
+            if end >= 0 and n >= 0 and len(text) >= end + len(BREAK) + n:
+                yield path, block, i, *_record(text)
+
+    yield from _batched(rows(), ["path", "block", "i", *_NAMES], [pa.string(), pa.int64(), pa.int64(), *_KINDS])
+
+
+def _pieces(batches):
+    def rows():
+        for path, block, i, text in _numbered(batches):
+            yield f"{path}\n{block}\n{i}", text
+
+    yield from _batched(rows(), ["key", "text"], [pa.string(), pa.binary()])
+
+
+def _joined(batches):
+    def rows():
+        for b in batches:
+            for path, block, i, parts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                yield path, block, i, *_record(MAGIC.join(p["text"] for p in parts))
+
+    yield from _batched(rows(), ["path", "block", "i", *_NAMES], [pa.string(), pa.int64(), pa.int64(), *_KINDS])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The true records of uncompressed archives: path, at, page_id (text of the record's id),
-    record_type, refers_to, url, payload (null for revisits), payload_bytes, payload_digest."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    links = files.mapInArrow(_links, "path string, at long, next long")
-    true = links.groupBy("path").applyInPandas(_chain, "path string, at long")
-    kinds = "path string, at long, page_id string, record_type string, refers_to string, url string, payload binary, payload_bytes long, payload_digest string"
-    return files.mapInArrow(_records, kinds).join(true, ["path", "at"])
+    record_type, refers_to, url, payload (null for revisits), payload_bytes, payload_digest.
+
+    Files are read by byte ranges, however large they are. A chain that breaks before the end of its
+    file, at what is no record, is an error. Payloads are not shuffled but for those that hold a
+    magic. A file without any record gives no rows, and an id that the writer left empty is empty.
+    """
+    texts = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    texts = texts.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    true, places = chained(texts)
+    true = cut(true)
+    # Every text belongs to the last record before it; those that are none themselves are parts of its payload.
+    last = places.join(true.select("path", "block", "i", F.lit(True).alias("own"), "next"), ["path", "block", "i"], "left")
+    over = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    of = last.filter("at >= 0").withColumns({"head": F.last(F.when(F.col("own"), F.struct("block", "i", "next")), True).over(over)})
+    # Chains go on to the end of the file, and not beyond.
+    broken = of.groupBy("path").agg(F.max(F.expr("head is null or (own is null and at >= head.next)")).alias("gap"), F.max("next").alias("to"), F.max(F.col("at") + F.col("size")).alias("end")).filter("gap or to > end").head(1)
+    if broken:
+        raise ValueError(f"no chain of records reaches just to the end of {broken[0]['path']}")
+    parts = cut(of.filter("own is null").select("path", "head.block", "head.i").distinct())
+    kinds = f"path string, block long, i long, {RECORD}"
+    keys = ["path", "block", "i"]
+    out = texts.mapInArrow(_whole, kinds).join(true.select(*keys, "at"), keys).join(parts, keys, "left_anti")
+    n = parts.count()
+    if n:
+        heads = parts.withColumn("held", F.lit(True))
+        need = of.join(heads, (of["path"] == heads["path"]) & (of["head.block"] == heads["block"]) & (of["head.i"] == heads["i"])).select(of["path"], of["block"], of["i"], of["at"], "head")
+        text_key = F.concat_ws("\n", "path", "block", "i")
+        need = cut(need.withColumn("key", text_key))
+        found = maybe_in(texts.mapInArrow(_pieces, "key string, text binary"), F.col("key"), need, F.col("key"), need.count(), "_may").filter("_may").drop("_may")
+        whole = found.join(need, "key").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+        whole = whole.select("path", "head.block", "head.i", F.col("parts")).mapInArrow(_joined, kinds)
+        out = out.unionByName(whole.join(true.select(*keys, "at"), keys))
+    return out.select("path", "at", *_NAMES)
