@@ -159,10 +159,29 @@ def full_features(tiles: DataFrame, key: str, stain: Normaliser | None = None, f
 def from_pixels(pixels: DataFrame, key: str, height: int, width: int) -> DataFrame:
     """Tiles of a pixel table (key, row, col, r, g, b, label): a row each, in the form that patches() takes."""
     at = F.struct((F.col("row") * width + F.col("col")).alias("at"), "r", "g", "b", "label")
-    held = pixels.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("p"))
-    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
-    rgb = F.unhex(F.array_join(F.transform("p", lambda p: F.concat(byte(p["r"]), byte(p["g"]), byte(p["b"]))), ""))
-    # Hexadecimal digits of a label, its lowest byte first.
-    word = lambda x: F.concat(*[byte(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(255)) for i in range(4)])
-    labels = F.unhex(F.array_join(F.transform("p", lambda p: word(p["label"])), ""))
-    return held.select(key, F.lit(height).alias("height"), F.lit(width).alias("width"), rgb.alias("rgb"), labels.alias("labels"))
+    held = pixels.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("p")).select(key, *[F.col(f"p.{c}").alias(c) for c in ("r", "g", "b", "label")])
+    kind = held.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                r, g, blue, label = (b.column(i)[at].values.to_numpy(zero_copy_only=False) for i in range(1, 5))
+                rgb = np.stack([r, g, blue], axis=-1).astype(np.uint8).tobytes()
+                cols = [b.column(0).slice(at, 1), pa.array([height], pa.int32()), pa.array([width], pa.int32()), pa.array([rgb]), pa.array([label.astype("<u4").tobytes()])]
+                yield pa.RecordBatch.from_arrays(cols, [key, "height", "width", "rgb", "labels"])
+
+    return held.mapInArrow(run, f"{key} {kind}, height int, width int, rgb binary, labels binary")
+
+
+def by_mask(pixels: DataFrame, side: int, kernel, names: list[str]) -> DataFrame:
+    """tile, label and the named values of a function of each nucleus's mask in its padded patch, many nuclei to a batch."""
+    cut = patches(from_pixels(pixels, "tile", side, side), "tile").select("tile", "nucleus_id", "height", "width", "mask")
+
+    def run(batches):
+        for b in batches:
+            rows = [list(map(float, kernel(np.frombuffer(m, bool).reshape(h, w)))) for h, w, m in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True)]
+            cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), *cols], ["tile", "label", *names])
+
+    kind = cut.schema["tile"].dataType.simpleString()
+    return cut.mapInArrow(run, ", ".join([f"tile {kind}", "label int", *[f"{n} double" for n in names]]))

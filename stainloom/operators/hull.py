@@ -1,4 +1,4 @@
-"""Convex hulls of nuclei, and matching that must go row by row; both in pandas, a group at a time."""
+"""Convex hulls of nuclei, and matching that must go row by row."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.operators.morphology import KEYS
-
 EDGE = 1e-9
 
 
@@ -55,15 +53,15 @@ def hull_area(rows: np.ndarray, cols: np.ndarray) -> int:
     return int(inside.sum())
 
 
-def convex(pixels: DataFrame) -> DataFrame:
-    """convex_area, solidity (area by it) and convexity (its inverse). A group is one nucleus, which its tile bounds."""
+def convex(pixels: DataFrame, side: int) -> DataFrame:
+    """convex_area, solidity (area by it) and convexity (its inverse)."""
+    from stainloom.operators.features import by_mask
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        area, full = len(pdf), hull_area(pdf["row"].to_numpy(), pdf["col"].to_numpy())
-        return pd.DataFrame([[*key, float(full), area / full, full / area]], columns=[*KEYS, "convex_area", "solidity", "convexity"])
+    def of(mask: np.ndarray):
+        area, full = mask.sum(), hull_area(*np.nonzero(mask))
+        return full, area / full, full / area
 
-    px = pixels.filter("label > 0").select(*KEYS, "row", "col")
-    return px.groupBy(*KEYS).applyInPandas(one, "tile int, label int, convex_area double, solidity double, convexity double")
+    return by_mask(pixels, side, of, ["convex_area", "solidity", "convexity"])
 
 
 def match_by_centroid(ours: DataFrame, theirs: DataFrame, group: str, most: float | None = None) -> DataFrame:
@@ -84,5 +82,5 @@ def match_by_centroid(ours: DataFrame, theirs: DataFrame, group: str, most: floa
                 out.append((key[0], r.id, ids[j], d[j]))
         return pd.DataFrame(out, columns=[group, "id", "their_id", "distance"])
 
-    cols = lambda df: df.select(group, F.col("id").cast("long").alias("id"), F.col("row").cast("double").alias("row"), F.col("col").cast("double").alias("col"))
+    cols = lambda df: df.select(F.col(group).alias(group), F.col("id").cast("long").alias("id"), F.col("row").cast("double").alias("row"), F.col("col").cast("double").alias("col"))
     return cols(ours).groupBy(group).cogroup(cols(theirs).groupBy(group)).applyInPandas(one, f"{group} {kind}, id long, their_id long, distance double")

@@ -39,14 +39,23 @@ def axes(pixels: DataFrame) -> DataFrame:
 
 
 def perimeters(pixels: DataFrame) -> DataFrame:
-    """Border length by codes of border pixels; one window for each of the four directions of neighbours."""
-    p = pixels.select("tile", "row", "col", "label")
+    """Border length by codes of border pixels; one window for each of the four directions of neighbours.
+
+    Only pixels of nuclei are sorted; a neighbour that isn't next to a pixel is none.
+    """
+    p = pixels.filter("label > 0").select("tile", "row", "col", "label")
     across, down = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
     fall, rise = Window.partitionBy("tile", F.col("row") - F.col("col")).orderBy("row"), Window.partitionBy("tile", F.col("row") + F.col("col")).orderBy("row")
-    other = lambda w, f: F.coalesce(f("label").over(w), F.lit(-1)) != F.col("label")
+    gap = {across: "col", down: "row", fall: "row", rise: "row"}
+
+    def beside(w, f, of):
+        """The value of the neighbour, null if the nearest pixel that way is farther off."""
+        return F.when(F.abs(f(gap[w]).over(w) - F.col(gap[w])) == 1, f(of).over(w))
+
+    other = lambda w, f: F.coalesce(beside(w, f, "label"), F.lit(-1)) != F.col("label")
     edge = other(across, F.lag) | other(across, F.lead) | other(down, F.lag) | other(down, F.lead)
     p = p.withColumn("e", F.when(edge & (F.col("label") > 0), F.col("label")).otherwise(0))
-    like = lambda w, f: F.coalesce((f("e").over(w) == F.col("label")).cast("int"), F.lit(0))
+    like = lambda w, f: F.coalesce((beside(w, f, "e") == F.col("label")).cast("int"), F.lit(0))
     code = 1 + 2 * (like(across, F.lag) + like(across, F.lead) + like(down, F.lag) + like(down, F.lead))
     code = code + 10 * (like(fall, F.lag) + like(fall, F.lead) + like(rise, F.lag) + like(rise, F.lead))
     p = p.withColumn("code", F.when(F.col("e") > 0, code).otherwise(0)).filter("label > 0")
@@ -93,17 +102,19 @@ def hu_from(nu: dict[str, object]) -> list:
 def hu_of_mask(pixels: DataFrame, side: int) -> DataFrame:
     """hu_moment_1..7 as the pipeline defines them: the corner of the patch's mask stands for the moments.
 
-    They vanish unless the patch's first pixel is in the nucleus, and for areas of ten or less.
+    They vanish unless the patch's first pixel is in the nucleus, for areas of ten or less and for
+    patches with a side of less than four pixels.
     """
     from stainloom.operators.regions import boxes
 
-    b = boxes(pixels, side).filter((F.col("pr1") - F.col("pr0") >= 3) & (F.col("pc1") - F.col("pc0") >= 3))
-    p = pixels.filter("label > 0").join(b.select(*KEYS, "pr0", "pc0", "area"), KEYS)
+    b = boxes(pixels, side)
+    large = (F.col("pr1") - F.col("pr0") >= 3) & (F.col("pc1") - F.col("pc0") >= 3)
+    p = pixels.filter("label > 0").join(b.select(*KEYS, "pr0", "pc0", "area", large.alias("large")), KEYS)
     p = p.withColumns({"p": F.col("row") - F.col("pr0"), "q": F.col("col") - F.col("pc0")})
     has = lambda k: F.max(((F.col("p") == int(k[0])) & (F.col("q") == int(k[1]))).cast("double")).alias(f"m{k}")
-    m = p.groupBy(*KEYS, "area").agg(*map(has, ("00", "20", "02", "11", "30", "03", "12", "21")))
+    m = p.groupBy(*KEYS, "area", "large").agg(*map(has, ("00", "20", "02", "11", "30", "03", "12", "21")))
     hu = hu_from({k: F.col(f"m{k}") for k in ("20", "02", "11", "30", "03", "12", "21")})
-    ok = (F.col("m00") == 1) & (F.col("area") > 10)
+    ok = F.col("large") & (F.col("m00") == 1) & (F.col("area") > 10)
     return m.select(*KEYS, *[F.when(ok, h).otherwise(0.0).alias(f"hu_moment_{i}") for i, h in enumerate(hu, 1)])
 
 

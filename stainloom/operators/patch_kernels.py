@@ -1,17 +1,12 @@
 """Operators on the mask of one nucleus in its padded patch, in NumPy: distances, opening, objects, contours.
 
-The relational parts (patches, grouping) are DataFrames; a group is one nucleus, which its patch bounds.
+Tiles and patches are rows; masks reach a kernel in Arrow batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from stainloom.operators.morphology import KEYS
-from stainloom.operators.regions import patches
 
 DESCRIPTORS = 5
 #: A contour of so many points or fewer has no descriptors.
@@ -182,15 +177,9 @@ def ripples(mask: np.ndarray, samples: int = 64) -> tuple[float, float, float]:
 
 
 def _by_nucleus(pixels: DataFrame, side: int, kernel, names: list[str]) -> DataFrame:
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        mask = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
-        mask[r - r.min(), c - c.min()] = pdf["inside"].to_numpy()
-        return pd.DataFrame([[*key, *map(float, kernel(mask))]], columns=[*KEYS, *names])
-
-    px = patches(pixels, side).select(*KEYS, "row", "col", "inside")
-    kinds = [f"{k} {px.schema[k].dataType.simpleString()}" for k in KEYS]
-    return px.groupBy(*KEYS).applyInPandas(one, ", ".join([*kinds, *[f"{n} double" for n in names]]))
+    from stainloom.operators.features import by_mask
+
+    return by_mask(pixels, side, kernel, names)
 
 
 def to_boundary(pixels: DataFrame, side: int) -> DataFrame:

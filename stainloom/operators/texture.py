@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ def glcm(patch: DataFrame, angles=tuple(OFFSETS), guard: float = 1e-16) -> DataF
     both = pairs.select(*KEYS, "a", F.explode(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))).alias("x"))
     both = both.groupBy(*KEYS, "a", "x.i", "x.j").agg(F.sum("x.n").alias("n"))
     d, n = F.col("i") - F.col("j"), F.col("n")
+    # All sums are of whole numbers but that of homogeneity, which is of decimals; so no value depends on an order.
     t = both.groupBy(*KEYS, "a").agg(
-        F.sum("n").alias("t"), F.sum(n * d * d).alias("con"), F.sum(n * F.abs(d)).alias("dis"), F.sum(n / (1 + d * d)).alias("hom"),
+        F.sum("n").alias("t"), F.sum(n * d * d).alias("con"), F.sum(n * F.abs(d)).alias("dis"), F.sum((n / (1 + d * d)).cast("decimal(20,12)")).cast("double").alias("hom"),
         F.sum(n * n).alias("sq"), F.sum(n * F.col("i")).alias("si"), F.sum(n * F.col("i") * F.col("i")).alias("sii"), F.sum(n * F.col("i") * F.col("j")).alias("sij"),
     )
     t = t.withColumn("var", (F.col("sii") * F.col("t") - F.col("si") * F.col("si")) / (F.col("t") * F.col("t")))
@@ -101,7 +104,9 @@ def hog(patch: DataFrame) -> DataFrame:
 
     cells = cells.withColumn("h", unit(F.col("h"))).withColumn("h", F.transform("h", lambda x: F.least(x, F.lit(0.2)))).withColumn("h", unit(F.col("h")))
     v = cells.select(*KEYS, F.explode("h").alias("x"))
-    return v.groupBy(*KEYS).agg(F.avg("x").alias("hog_mean"), F.stddev_pop("x").alias("hog_std"), F.max("x").alias("hog_max"), F.min("x").alias("hog_min"))
+    v = v.groupBy(*KEYS).agg(F.avg("x").alias("hog_mean"), F.stddev_pop("x").alias("hog_std"), F.max("x").alias("hog_max"), F.min("x").alias("hog_min"))
+    # Patches of no whole cell have zeros.
+    return patch.select(*KEYS).distinct().join(v, KEYS, "left").fillna(0.0, [c for c in v.columns if c not in KEYS])
 
 
 def stains(pixels: DataFrame) -> DataFrame:
@@ -126,23 +131,33 @@ def stains(pixels: DataFrame) -> DataFrame:
     return out.withColumn("he_ratio", F.when(F.col("e_mean") == 0, 0.0).otherwise(F.col("h_mean") / F.col("e_mean")))
 
 
-def nearest(points: DataFrame, group: str, ident: str, row: str, col: str, cell: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, group: str, ident: str, row: str, col: str) -> DataFrame:
     """Distance of each point to the nearest other of its group; 0 for a lone one.
 
-    The self join is by group. With ``cell`` the plane is cut into squares first and a point only
-    meets those of its own and the eight around; points with none so near go on to the full group.
+    A group is the points of one image. They are shuffled once and swept in order of their rows,
+    so a point meets few others, however they lie.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    p = points.select(group, F.col(ident).alias("i"), F.col(row).cast("double").alias("y"), F.col(col).cast("double").alias("x"))
+    kinds = [p.schema[c].dataType.simpleString() for c in (group, "i")]
+
+    def swept(t: pa.Table) -> pa.Table:
+        from stainloom.operators.features import nearest as sweep
+
+        far = sweep(np.stack([t.column("y").to_numpy(), t.column("x").to_numpy()], axis=1))
+        return pa.table([t.column(group), t.column("i"), pa.array(far)], [group, ident, "distance_to_nearest_neighbor"])
+
+    return p.groupBy(group).applyInArrow(swept, f"{group} {kinds[0]}, {ident} {kinds[1]}, distance_to_nearest_neighbor double")
+
+
+def nearest_to(points: DataFrame, row: str, col: str, at: tuple[float, float]) -> DataFrame:
+    """distance of a place to the nearest of points: one row, 0 where there is none or the place is not finite.
+
+    Points that are not finite are passed over. One aggregate, no join.
     """
-    a = points.select(group, F.col(ident).alias("i"), F.col(row).alias("y"), F.col(col).alias("x"))
-    b = a.select(group, F.col("i").alias("j"), F.col("y").alias("y2"), F.col("x").alias("x2"))
-    d = F.sqrt((F.col("y") - F.col("y2")) ** 2 + (F.col("x") - F.col("x2")) ** 2)
-    full = lambda of: of.join(b, group).filter("i <> j").groupBy(group, "i").agg(F.min(d).alias("d"))
-    if cell is None:
-        best = full(a)
-    else:
-        sq = lambda y, x: [F.floor(F.col(y) / cell).alias("u"), F.floor(F.col(x) / cell).alias("v")]
-        own = a.select("*", *sq("y", "x"))
-        steps = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
-        wide = b.select("*", *sq("y2", "x2")).withColumn("s", F.explode(steps)).select(group, "j", "y2", "x2", (F.col("u") + F.col("s.u")).alias("u"), (F.col("v") + F.col("s.v")).alias("v"))
-        close = own.join(wide, [group, "u", "v"]).filter("i <> j").groupBy(group, "i").agg(F.min(d).alias("d")).filter(F.col("d") <= cell)
-        best = close.unionByName(full(a.join(close.select(group, "i"), [group, "i"], "left_anti")))
-    return a.select(group, "i").join(best, [group, "i"], "left").select(group, F.col("i").alias(ident), F.coalesce("d", F.lit(0.0)).alias("distance_to_nearest_neighbor"))
+    fine = all(math.isfinite(x) for x in at)
+    d = F.sqrt((F.col(row) - F.lit(float(at[0]))) ** 2 + (F.col(col) - F.lit(float(at[1]))) ** 2)
+    ok = d.isNotNull() & ~F.isnan(d) & (d != float("inf")) & F.lit(fine)
+    return points.agg(F.coalesce(F.min(F.when(ok, d)), F.lit(0.0)).alias("distance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stainloom.operators import intensity, morphology, regions, texture
+from stainloom.operators import features, intensity, morphology, regions, texture
 from stainloom.plans.synth import SIDE, TILE_SQL, tiles
 
 QUERIES = {}
@@ -69,7 +69,8 @@ def area_centroid(spark, sf_dir):
     return rounded(morphology.centroids(tiles(spark, sf_dir)))
 
 
-_AXES = """mo AS (SELECT tile, label, var_pop(row) AS vr, var_pop(col) AS vc, covar_pop(row, col) AS vrc FROM pixels WHERE label > 0 GROUP BY ALL),
+_AXES = """ms AS (SELECT tile, label, count(*) AS n, sum(row) AS sr, sum(col) AS sc, sum(row*row) AS srr, sum(col*col) AS scc, sum(row*col) AS src FROM pixels WHERE label > 0 GROUP BY ALL),
+mo AS (SELECT tile, label, CAST(srr*n - sr*sr AS DOUBLE)/(n*n) AS vr, CAST(scc*n - sc*sc AS DOUBLE)/(n*n) AS vc, CAST(src*n - sr*sc AS DOUBLE)/(n*n) AS vrc FROM ms),
 ei AS (SELECT *, (vr+vc)/2 + sqrt((vc-vr)*(vc-vr)/4 + vrc*vrc) AS l1, greatest((vr+vc)/2 - sqrt((vc-vr)*(vc-vr)/4 + vrc*vrc), 0) AS l2 FROM mo)"""
 
 
@@ -77,12 +78,10 @@ ei AS (SELECT *, (vr+vc)/2 + sqrt((vc-vr)*(vc-vr)/4 + vrc*vrc) AS l1, greatest((
     "axes_ecc_orient",
     f"""WITH {TILE_SQL}, {_AXES} SELECT tile, label, round(4*sqrt(l1),6)+0.0 AS major_axis_length, round(4*sqrt(l2),6)+0.0 AS minor_axis_length,
   CASE WHEN l1 <= 1e-12 THEN 0.0 ELSE round(sqrt(greatest(0, 1-l2/l1)),5)+0.0 END AS eccentricity,
-  abs(round(CASE WHEN abs(vr-vc) < 1e-9 THEN pi()/4 ELSE 0.5*atan2(2*vrc, vr-vc) END, 6))+0.0 AS orientation_size FROM ei""",
+  round(CASE WHEN abs(vc-vr) < 1e-12 THEN CASE WHEN vrc > 0 THEN pi()/4 ELSE -pi()/4 END ELSE 0.5*atan2(2*vrc, vr-vc) END, 6)+0.0 AS orientation FROM ei""",
 )
 def axes_ecc_orient(spark, sf_dir):
-    """The size of the orientation, as its sign flips at rounding errors of symmetric shapes."""
-    df = morphology.axes(tiles(spark, sf_dir)).withColumn("eccentricity", F.round("eccentricity", 5))
-    return rounded(df.withColumn("orientation_size", F.abs(F.round("orientation", 6))).drop("orientation"))
+    return rounded(morphology.axes(tiles(spark, sf_dir)).withColumn("eccentricity", F.round("eccentricity", 5)))
 
 
 _PERIMETER = """bo AS (SELECT p.* FROM pixels p WHERE label > 0 AND (tile, row, col) NOT IN (
@@ -131,9 +130,9 @@ _HU = ("20", "02", "11", "30", "03", "12", "21")
 
 @query(
     "hu_pipeline",
-    f"""WITH {TILE_SQL}, {_BOXES}, m AS (SELECT tile, label, any_value(area) AS area, {", ".join(f"CAST(max(CASE WHEN row-pr0 = {k[0]} AND col-pc0 = {k[1]} THEN 1 ELSE 0 END) AS DOUBLE) AS m{k}" for k in ("00", *_HU))}
-  FROM pixels JOIN box USING (tile, label) WHERE pr1-pr0 >= 3 AND pc1-pc0 >= 3 GROUP BY ALL)
-SELECT tile, label, {", ".join(f"CASE WHEN m00 = 1 AND area > 10 THEN {h} ELSE 0.0 END AS hu_moment_{i}" for i, h in enumerate(_hu_sql({k: f"m{k}" for k in _HU}), 1))} FROM m""",
+    f"""WITH {TILE_SQL}, {_BOXES}, m AS (SELECT tile, label, any_value(area) AS area, any_value(pr1-pr0 >= 3 AND pc1-pc0 >= 3) AS large, {", ".join(f"CAST(max(CASE WHEN row-pr0 = {k[0]} AND col-pc0 = {k[1]} THEN 1 ELSE 0 END) AS DOUBLE) AS m{k}" for k in ("00", *_HU))}
+  FROM pixels JOIN box USING (tile, label) GROUP BY ALL)
+SELECT tile, label, {", ".join(f"CASE WHEN large AND m00 = 1 AND area > 10 THEN {h} ELSE 0.0 END AS hu_moment_{i}" for i, h in enumerate(_hu_sql({k: f"m{k}" for k in _HU}), 1))} FROM m""",
 )
 def hu_pipeline(spark, sf_dir):
     return morphology.hu_of_mask(tiles(spark, sf_dir), SIDE)
@@ -167,30 +166,31 @@ def _glcm_sql(offsets) -> str:
     return f"""{_PATCH}, o(a, dr, dc) AS (VALUES {", ".join(map(str, offsets))}),
 pr AS (SELECT x.tile, x.label, a, x.v AS i, y.v AS j, count(*) AS n FROM pa x, o JOIN pa y ON y.tile = x.tile AND y.label = x.label AND y.row = x.row + dr AND y.col = x.col + dc GROUP BY ALL),
 sy AS (SELECT tile, label, a, i, j, sum(n) AS n FROM (SELECT * FROM pr UNION ALL SELECT tile, label, a, j, i, n FROM pr) GROUP BY ALL),
-no AS (SELECT tile, label, a, i, j, n / sum(n) OVER (PARTITION BY tile, label, a) AS p FROM sy),
-mu AS (SELECT tile, label, a, sum(p*i) AS m, sum(p*i*i) - sum(p*i)*sum(p*i) AS va, sum(p*i*j) - sum(p*i)*sum(p*i) AS cv, sum(p*(i-j)*(i-j)) AS con, sum(p*abs(i-j)) AS dis, sum(p/(1+(i-j)*(i-j))) AS hom, sum(p*p) AS asm FROM no GROUP BY ALL),
+su AS (SELECT tile, label, a, CAST(sum(n) AS DOUBLE) AS t, sum(n*(i-j)*(i-j)) AS con, sum(n*abs(i-j)) AS dis, CAST(sum(CAST(CAST(n AS DOUBLE)/(1+(i-j)*(i-j)) AS DECIMAL(20,12))) AS DOUBLE) AS hom,
+  sum(n*n) AS sq, sum(n*i) AS si, sum(n*i*i) AS sii, sum(n*i*j) AS sij FROM sy GROUP BY ALL),
+mu AS (SELECT tile, label, a, CAST(con AS DOUBLE)/t AS con, CAST(dis AS DOUBLE)/t AS dis, hom/t AS hom, CAST(sq AS DOUBLE)/(t*t) AS asm, (CAST(sii AS DOUBLE)*t - CAST(si AS DOUBLE)*si)/(t*t) AS va, (CAST(sij AS DOUBLE)*t - CAST(si AS DOUBLE)*si)/(t*t) AS cv FROM su),
 lv AS (SELECT tile, label, count(DISTINCT v) AS k FROM pa WHERE v > 0 GROUP BY ALL)"""
 
 
 @query(
     "glcm_props",
     f"""WITH {TILE_SQL}, {_glcm_sql([(0, 0, 1), (45, 1, 1), (90, 1, 0), (135, 1, -1)])}
-SELECT tile, label, {", ".join(f"CASE WHEN any_value(k) >= 2 THEN round(avg({e}),5)+0.0 ELSE 0.0 END AS glcm_{n}" for n, e in (("contrast", "con"), ("dissimilarity", "dis"), ("homogeneity", "hom"), ("ASM", "asm"), ("energy", "sqrt(asm)"), ("correlation", "CASE WHEN va*va <= 1e-16 THEN 0 ELSE cv/va END")))}
+SELECT tile, label, {", ".join(f"CASE WHEN any_value(k) >= 2 THEN round(({' + '.join(f'max(CASE WHEN a = {a} THEN {e} END)' for a in (0, 45, 90, 135))})/4, 9)+0.0 ELSE 0.0 END AS glcm_{n}" for n, e in (("contrast", "con"), ("dissimilarity", "dis"), ("homogeneity", "hom"), ("ASM", "asm"), ("energy", "sqrt(asm)"), ("correlation", "CASE WHEN va*va <= 1e-16 THEN 0 ELSE cv/va END")))}
 FROM mu LEFT JOIN lv USING (tile, label) GROUP BY ALL""",
 )
 def glcm_props(spark, sf_dir):
-    return rounded(texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE)), digits=5)
+    return rounded(texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE)), digits=9)
 
 
 @query(
     "glcm_0deg",
-    f"""WITH {TILE_SQL}, {_glcm_sql([(0, 0, 1)])} SELECT tile, label, CASE WHEN k >= 2 THEN round(con,5)+0.0 ELSE 0.0 END AS contrast,
-  CASE WHEN k >= 2 AND va > 1e-12 THEN round(cv/va,5)+0.0 ELSE 0.0 END AS correlation, CASE WHEN k >= 2 THEN round(sqrt(asm),5)+0.0 ELSE 0.0 END AS energy, CASE WHEN k >= 2 THEN round(hom,5)+0.0 ELSE 0.0 END AS homogeneity
+    f"""WITH {TILE_SQL}, {_glcm_sql([(0, 0, 1)])} SELECT tile, label, CASE WHEN k >= 2 THEN round(con,9)+0.0 ELSE 0.0 END AS contrast,
+  CASE WHEN k >= 2 AND va > 1e-12 THEN round(cv/va,9)+0.0 ELSE 0.0 END AS correlation, CASE WHEN k >= 2 THEN round(sqrt(asm),9)+0.0 ELSE 0.0 END AS energy, CASE WHEN k >= 2 THEN round(hom,9)+0.0 ELSE 0.0 END AS homogeneity
 FROM mu LEFT JOIN lv USING (tile, label)""",
 )
 def glcm_0deg(spark, sf_dir):
     g = texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE), angles=(0,), guard=1e-24)
-    return rounded(g.select("tile", "label", *[F.col(f"glcm_{c}").alias(c) for c in ("contrast", "correlation", "energy", "homogeneity")]), digits=5)
+    return rounded(g.select("tile", "label", *[F.col(f"glcm_{c}").alias(c) for c in ("contrast", "correlation", "energy", "homogeneity")]), digits=9)
 
 
 @query(
@@ -200,30 +200,107 @@ SELECT a.tile, a.label, coalesce(round(min(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a
 )
 def nn_distance(spark, sf_dir):
     c = morphology.centroids(tiles(spark, sf_dir))
-    return rounded(texture.nearest(c, "tile", "label", "centroid_row", "centroid_col", cell=16.0))
+    return rounded(texture.nearest(c, "tile", "label", "centroid_row", "centroid_col"))
 
 
 def _moments(c: str, name: str) -> str:
-    return f"""round(avg({c}),4)+0.0 AS {name}_mean, round(stddev_pop({c}),4)+0.0 AS {name}_std, round(min({c}),4)+0.0 AS {name}_min, round(max({c}),4)+0.0 AS {name}_max"""
+    over = lambda k: f"round(CASE WHEN sqrt(max(m2{c})) <= 1e-12 THEN 0 ELSE avg(power({c}-m{c}, {k}))/power(max(m2{c}), {k / 2}) - {k - 3}*3 END, 4)+0.0"
+    return f"""round(avg({c}),4)+0.0 AS {name}_mean, round(stddev_pop({c}),4)+0.0 AS {name}_std, {over(3)} AS {name}_skewness, {over(4)} AS {name}_kurtosis, round(min({c}),4)+0.0 AS {name}_min, round(max({c}),4)+0.0 AS {name}_max"""
 
 
 @query(
     "he_color_stats",
     f"""WITH {TILE_SQL}, o AS (SELECT tile, label, {", ".join(f"CAST(CAST(ln(greatest(CAST({c}/255.0 AS FLOAT), CAST(1e-6 AS FLOAT))) AS FLOAT) / CAST(ln(CAST(1e-6 AS FLOAT)) AS FLOAT) AS DOUBLE) AS o{c}" for c in "rgb")} FROM pixels WHERE label > 0),
-s AS (SELECT tile, label, greatest(CAST(CAST(0.65 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.70 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.29 AS FLOAT) AS DOUBLE)*ob, 0) AS h, greatest(CAST(CAST(0.07 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.99 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.11 AS FLOAT) AS DOUBLE)*ob, 0) AS e FROM (SELECT tile, label, "or" AS orr, og, ob FROM o))
-SELECT tile, label, {_moments("h", "h")}, {_moments("e", "e")}, CASE WHEN avg(e) = 0 THEN 0.0 ELSE round(avg(h)/avg(e),4)+0.0 END AS he_ratio FROM s GROUP BY ALL""",
+s AS (SELECT tile, label, greatest(CAST(CAST(0.65 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.70 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.29 AS FLOAT) AS DOUBLE)*ob, 0) AS h, greatest(CAST(CAST(0.07 AS FLOAT) AS DOUBLE)*orr+CAST(CAST(0.99 AS FLOAT) AS DOUBLE)*og+CAST(CAST(0.11 AS FLOAT) AS DOUBLE)*ob, 0) AS e FROM (SELECT tile, label, "or" AS orr, og, ob FROM o)),
+c AS (SELECT *, avg(h) OVER (PARTITION BY tile, label) AS mh, avg(e) OVER (PARTITION BY tile, label) AS me FROM s),
+w AS (SELECT *, avg((h-mh)*(h-mh)) OVER (PARTITION BY tile, label) AS m2h, avg((e-me)*(e-me)) OVER (PARTITION BY tile, label) AS m2e FROM c)
+SELECT tile, label, {_moments("h", "h")}, {_moments("e", "e")}, CASE WHEN avg(e) = 0 THEN 0.0 ELSE round(avg(h)/avg(e),4)+0.0 END AS he_ratio FROM w GROUP BY ALL""",
 )
 def he_color_stats(spark, sf_dir):
-    """Without skewness and kurtosis, which the other engine corrects for the sample."""
-    df = texture.stains(tiles(spark, sf_dir))
-    return rounded(df.drop(*[c for c in df.columns if c.endswith(("skewness", "kurtosis"))]), digits=4)
+    return rounded(texture.stains(tiles(spark, sf_dir)), digits=4)
 
 
-@query("lbp_stats")
+_K = 0.70711
+
+
+def _corner(diag: str, vert: str, side: str) -> str:
+    return f"({1 - _K!r}*({1 - _K!r}*v + {_K}*{side}) + {_K}*({1 - _K!r}*{vert} + {_K}*{diag}))"
+
+
+_POINTS = ["e", _corner("ne", "n", "e"), "n", _corner("nw", "n", "w"), "w", _corner("sw", "s", "w"), "s", _corner("se", "s", "e")]
+_NEAR = {"e": (0, 1), "w": (0, -1), "n": (-1, 0), "s": (1, 0), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
+
+
+@query(
+    "lbp_stats",
+    f"""WITH {TILE_SQL}, {_PATCH},
+nb AS (SELECT x.tile, x.label, x.row, x.col, CAST(x.v AS DOUBLE) AS v, {", ".join(f"CAST(coalesce(max(CASE WHEN y.row-x.row = {dr} AND y.col-x.col = {dc} THEN y.v END), 0) AS DOUBLE) AS {k}" for k, (dr, dc) in _NEAR.items())}
+  FROM pa x JOIN pa y ON y.tile = x.tile AND y.label = x.label AND abs(y.row-x.row) <= 1 AND abs(y.col-x.col) <= 1 WHERE x.inside GROUP BY x.tile, x.label, x.row, x.col, x.v),
+bi AS (SELECT tile, label, v, {", ".join(f"CAST(round({p}, 9) >= v AS INTEGER) AS b{i}" for i, p in enumerate(_POINTS))} FROM nb),
+co AS (SELECT tile, label, v, CASE WHEN {" + ".join(f"abs(b{i}-b{i + 1})" for i in range(7))} <= 2 THEN {" + ".join(f"b{i}" for i in range(8))} ELSE 9 END AS code FROM bi),
+ct AS (SELECT tile, label, code, count(*) AS n, max(v) AS top FROM co GROUP BY ALL),
+fr AS (SELECT *, n / sum(n) OVER (PARTITION BY tile, label) AS f FROM ct)
+SELECT tile, label, CASE WHEN max(top) > 0 THEN round(sum(f*code),6)+0.0 ELSE 0.0 END AS lbp_mean, CASE WHEN max(top) > 0 THEN round(sqrt(greatest(sum(f*code*code)-sum(f*code)*sum(f*code), 0)),6)+0.0 ELSE 0.0 END AS lbp_std,
+  CASE WHEN max(top) > 0 THEN round(-sum(f*log2(f)),6)+0.0 ELSE 0.0 END AS lbp_entropy FROM fr GROUP BY ALL""",
+)
 def lbp_stats(spark, sf_dir):
     return rounded(texture.lbp(regions.patches(tiles(spark, sf_dir), SIDE)))
 
 
-@query("hog_summary")
+@query(
+    "hog_summary",
+    f"""WITH {TILE_SQL}, {_PATCH},
+gr AS (SELECT *, coalesce(lead(v) OVER (PARTITION BY tile, label, row ORDER BY col) - lag(v) OVER (PARTITION BY tile, label, row ORDER BY col), 0) AS gx,
+  coalesce(lead(v) OVER (PARTITION BY tile, label, col ORDER BY row) - lag(v) OVER (PARTITION BY tile, label, col ORDER BY row), 0) AS gy FROM pa),
+an AS (SELECT *, degrees(atan2(gy, gx)) AS d, sqrt(gx*gx + gy*gy) AS mag FROM gr),
+bn AS (SELECT tile, label, (row-pr0)//8 AS cr, (col-pc0)//8 AS cc, floor(round(CASE WHEN d < 0 THEN CASE WHEN d+180 >= 180 THEN d ELSE d+180 END WHEN d >= 180 THEN d-180 ELSE d END, 9)/22.5) AS b, mag FROM an
+  WHERE (row-pr0)//8 < (pr1-pr0+1)//8 AND (col-pc0)//8 < (pc1-pc0+1)//8),
+hi AS (SELECT tile, label, cr, cc, k, sum(CASE WHEN b = k THEN mag ELSE 0 END)/64 AS h FROM bn, range(8) r(k) GROUP BY ALL),
+h1 AS (SELECT *, least(h/sqrt(sum(h*h) OVER (PARTITION BY tile, label, cr, cc) + 1e-10), 0.2) AS g FROM hi),
+h2 AS (SELECT *, g/sqrt(sum(g*g) OVER (PARTITION BY tile, label, cr, cc) + 1e-10) AS x FROM h1)
+SELECT b.tile, b.label, {", ".join(f"coalesce(round({f}(x),6)+0.0, 0.0) AS hog_{n}" for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("max", "max"), ("min", "min")))} FROM box b LEFT JOIN h2 USING (tile, label) GROUP BY ALL""",
+)
 def hog_summary(spark, sf_dir):
     return rounded(texture.hog(regions.patches(tiles(spark, sf_dir), SIDE)))
+
+
+def tile_rows(spark, sf_dir):
+    """Synthetic tiles as rows of bytes."""
+    return features.from_pixels(tiles(spark, sf_dir), "tile", SIDE, SIDE)
+
+
+@query("full_features_130")
+def full_features_130(spark, sf_dir):
+    """The whole row of every nucleus, before and after stain normalisation."""
+    return rounded(features.full_features(tile_rows(spark, sf_dir), "tile", features.Normaliser()))
+
+
+@query("chromatin_features")
+def chromatin_features(spark, sf_dir):
+    return rounded(features.full_features(tile_rows(spark, sf_dir), "tile", families=["chromatin"]))
+
+
+@query("stain_normalised")
+def stain_normalised(spark, sf_dir):
+    """Mean red, green and blue of each nucleus's patch before and after normalisation of its tile."""
+    cut = features.patches(tile_rows(spark, sf_dir), "tile", features.Normaliser())
+    mean = lambda of, k: F.expr(f"aggregate(sequence({k}, length({of}) - 1, 3), 0L, (s, i) -> s + conv(hex(substring({of}, i + 1, 1)), 16, 10)) / (length({of}) / 3)")
+    return rounded(cut.select("tile", "nucleus_id", *[mean(of, k).alias(f"{of}_{c}") for of in ("pre", "post") for k, c in enumerate("rgb")]))
+
+
+_FROM_MASK = ["area", "perimeter", "equivalent_diameter", "extent", "euler_number", "centroid_row", "centroid_col", "circularity", "fractal_dimension", "roughness"]
+
+
+@query(
+    "mask_features",
+    f"""WITH {TILE_SQL}, {_BOXES}, {_PERIMETER}, q AS (SELECT tile, label, row + d // 2 AS qr, col + d % 2 AS qc, sum(1 << d) AS bits, count(*) AS n FROM pixels, range(4) k(d) WHERE label > 0 GROUP BY ALL),
+eu AS (SELECT tile, label, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4.0 AS euler_number FROM q GROUP BY ALL),
+ce AS (SELECT tile, label, avg(row) AS cr, avg(col) AS cc FROM pixels WHERE label > 0 GROUP BY ALL)
+SELECT tile, CAST(label AS BIGINT) AS nucleus_id, CAST(area AS DOUBLE) AS area, round(perimeter,6)+0.0 AS perimeter, round(sqrt(4*area/pi()),6)+0.0 AS equivalent_diameter, round(area/((r1-r0+1)*(c1-c0+1)),6)+0.0 AS extent, euler_number,
+  round(cr,6)+0.0 AS centroid_row, round(cc,6)+0.0 AS centroid_col, CASE WHEN perimeter = 0 THEN 0.0 ELSE round(4*pi()*area/(perimeter*perimeter),6)+0.0 END AS circularity,
+  CASE WHEN area > 1 AND perimeter > 0 THEN round(ln(perimeter)/ln(area),6)+0.0 ELSE 0.0 END AS fractal_dimension, round(perimeter*perimeter/area,6)+0.0 AS roughness
+FROM box JOIN eu USING (tile, label) JOIN ce USING (tile, label) JOIN pe USING (tile, label)""",
+)
+def mask_features(spark, sf_dir):
+    """Columns of the whole row that come from the mask alone, by the kernels."""
+    return rounded(features.full_features(tile_rows(spark, sf_dir), "tile", families=["morphology", "shape"]).select("tile", "nucleus_id", *_FROM_MASK))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stainloom.operators import batch, hull, morphology, parity, patch_kernels, regions
+from stainloom.operators import batch, hull, morphology, parity, patch_kernels, regions, texture
 from stainloom.plans.registry import _BOXES, query, rounded
 from stainloom.plans.synth import SIDE, TILE_SQL, tiles
+from stainloom.sources import files, mat
 
 
 def _of(spark, sf_dir, name):
@@ -151,7 +152,7 @@ def common_features(spark, sf_dir):
 
 @query("convex_solidity")
 def convex_solidity(spark, sf_dir):
-    return rounded(hull.convex(tiles(spark, sf_dir)))
+    return rounded(hull.convex(tiles(spark, sf_dir), SIDE))
 
 
 @query("match_by_centroid")
@@ -201,3 +202,68 @@ def outline_features(spark, sf_dir):
 def cleaned_objects(spark, sf_dir):
     """Pixels of objects that are not small, and objects, of each nucleus."""
     return patch_kernels.cleaned(tiles(spark, sf_dir), SIDE).select("tile", "label", "cleaned_area", "n_objects")
+
+
+@query(
+    "nn_point_api",
+    "SELECT round(coalesce(min(sqrt((s_acctbal-100.0e0)*(s_acctbal-100.0e0) + (s_suppkey-7.0e0)*(s_suppkey-7.0e0))), 0), 6)+0.0 AS distance FROM supplier WHERE s_suppkey % 10 <> 0",
+)
+def nn_point_api(spark, sf_dir):
+    """A place against points, some of which are not finite."""
+    s = _of(spark, sf_dir, "supplier")
+    row = F.when(F.col("s_suppkey") % 10 == 0, float("nan")).otherwise(F.col("s_acctbal"))
+    return rounded(texture.nearest_to(s.select(row.alias("r"), F.col("s_suppkey").cast("double").alias("c")), "r", "c", (100.0, 7.0)))
+
+
+_VARS = """va AS (SELECT 'n' || s_nationkey AS path, CASE s_suppkey % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'labels' ELSE 'x' || s_suppkey END AS name,
+  [s_suppkey * 1.0, s_suppkey % 3, s_nationkey, CASE WHEN s_suppkey % 5 = 0 THEN 0.5 ELSE 1.0 END] AS v FROM supplier WHERE s_suppkey % 7 <> 0)"""
+
+
+@query(
+    "mat_key_choice",
+    f"""WITH {_VARS}, ok AS (SELECT * FROM va WHERE list_min(v) >= 0 AND list_last(v) = 1.0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE name WHEN 'labels' THEN 4 WHEN 'mask' THEN 6 ELSE 7 END, CASE WHEN name LIKE 'x%' THEN -len(list_distinct(v)) ELSE 0 END, name, v) AS k FROM ok)
+SELECT path, name FROM rk WHERE k = 1""",
+)
+def mat_key_choice(spark, sf_dir):
+    """Which variable of a file is its label map."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, "mask").when(k % 4 == 1, "labels").otherwise(F.concat(F.lit("x"), k))
+    values = F.array(k.cast("double"), (k % 3).cast("double"), F.col("s_nationkey").cast("double"), F.when(k % 5 == 0, 0.5).otherwise(1.0))
+    s = _of(spark, sf_dir, "supplier").filter(k % 7 != 0)
+    v = s.select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("path"), name.alias("name"), F.lit(2).alias("rows"), F.lit(2).alias("cols"), values.alias("values"))
+    return mat.label_maps(v).select("path", "name")
+
+
+@query(
+    "file_lookup",
+    """WITH ex AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a/' ELSE 'b/' END || 'c' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '_seg' ELSE '' END || '.mat' AS path FROM customer WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT 'b/c' || c_custkey || '.mat' FROM customer WHERE c_custkey % 4 = 0),
+ca AS (SELECT 'c' || c_custkey AS stem, d.i * 2 + t.i AS way, d.x || 'c' || c_custkey || t.x AS path FROM customer, (VALUES (0, 'a/'), (1, 'b/')) d(i, x), (VALUES (0, '.mat'), (1, '_seg.mat')) t(i, x))
+SELECT s.stem, f.path FROM (SELECT DISTINCT stem FROM ca) s LEFT JOIN (SELECT stem, arg_min(path, way) AS path FROM ca WHERE path IN (SELECT path FROM ex) GROUP BY 1) f USING (stem)""",
+)
+def file_lookup(spark, sf_dir):
+    """The first of two folders by two names that has a file."""
+    c, k = _of(spark, sf_dir, "customer"), F.col("c_custkey")
+    one = c.filter(k % 5 != 0).select(F.concat(F.when(k % 2 == 0, "a/").otherwise("b/"), F.lit("c"), k, F.when(k % 3 == 0, "_seg").otherwise(""), F.lit(".mat")).alias("path"))
+    two = c.filter(k % 4 == 0).select(F.concat(F.lit("b/c"), k, F.lit(".mat")).alias("path"))
+    return files.first_existing(c.select(F.concat(F.lit("c"), k).alias("stem")), one.unionByName(two), ["a", "b"], ["{stem}.mat", "{stem}_seg.mat"])
+
+
+@query(
+    "match_coverage",
+    """SELECT n_nationkey, count(s_suppkey) AS reference, count(s_suppkey) FILTER (s_suppkey % 3 <> 0) AS matched, round(count(s_suppkey) FILTER (s_suppkey % 3 <> 0) / count(s_suppkey), 6)+0.0 AS coverage
+FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL""",
+)
+def match_coverage(spark, sf_dir):
+    s = _of(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    return rounded(parity.coverage(s.filter("s_suppkey % 3 <> 0"), s, "n_nationkey"))
+
+
+@query("metadata_last_wins", "SELECT c_custkey, coalesce(CAST(m AS VARCHAR), '') AS key FROM customer LEFT JOIN (SELECT s_nationkey, max(s_suppkey) AS m FROM supplier WHERE s_nationkey < 15 GROUP BY 1) ON c_nationkey = s_nationkey")
+def metadata_last_wins(spark, sf_dir):
+    """Of metadata rows with one key the last counts."""
+    meta = _of(spark, sf_dir, "supplier").filter("s_nationkey < 15").coalesce(1).sortWithinPartitions("s_suppkey")
+    meta = meta.select(F.col("s_nationkey").cast("string").alias("id"), F.col("s_suppkey").cast("string").alias("key"))
+    tasks = _of(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("id"))
+    return batch.with_metadata(tasks, meta, "id", ["key"]).drop("id")
