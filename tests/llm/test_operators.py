@@ -346,10 +346,10 @@ def test_sizes_by_hand(spark):
 
 
 def test_languages(spark, docs, empty):
-    rows = [(i, " ".join(f"{p}{x}" for x in prose(i).split()), p) for i in range(60) for p in ("qu", "sch")]
+    rows = [(2 * i + k, " ".join(f"{p}{x}" for x in prose(i).split()), p) for i in range(60) for k, p in enumerate(("qu", "sch"))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    d = fit(df.filter("doc_id < 40"))
-    got = language_id(df.filter("doc_id >= 40"), d).join(df.filter("doc_id >= 40").selectExpr("doc_id", "lang as truth"), "doc_id")
+    d = fit(df.filter("doc_id < 80"))
+    got = language_id(df.filter("doc_id >= 80"), d).join(df.filter("doc_id >= 80").selectExpr("doc_id", "lang as truth"), "doc_id")
     assert set(d) == {"qu", "sch"} and got.filter("lang_pred = truth").count() > 0.9 * got.count()
     assert fit(empty) == {} and {r["lang_pred"] for r in language_id(df, {"qu": d["qu"]}).collect()} == {"qu"}
     und = {r["doc_id"]: r["lang_pred"] for r in language_id(docs, d).collect()}
