@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,11 +63,22 @@ def test_glcm_of_one_level_is_zero(spark):
     assert list(r)[2:] == [0.0] * 6
 
 
-def test_nearest_with_and_without_cells(spark):
-    df = spark.createDataFrame([(0, 1, 10.0, 13.0), (0, 2, 10.0, 10.0), (0, 3, 13.0, 14.0), (0, 4, 200.0, 3.0), (1, 1, 5.0, 5.0)], "g int, i int, y double, x double")
-    got = [{(r["g"], r["i"]): r[2] for r in texture.nearest(df, "g", "i", "y", "x", cell=c).collect()} for c in (None, 4.0)]
-    assert got[0] == got[1]
-    assert got[0][0, 1] == 3.0 and got[0][1, 1] == 0.0
+def test_nearest_against_all_pairs(spark):
+    r = np.random.RandomState(4)
+    rows = [(0, 1, 10.0, 13.0), (0, 2, 10.0, 10.0), (0, 3, 13.0, 14.0), (0, 4, 200.0, 3.0), (1, 1, 5.0, 5.0)]
+    rows += [(2, i, float(y), float(x)) for i, (y, x) in enumerate(np.r_[r.rand(60, 2) * 40, np.c_[np.full(20, 7.0), r.rand(20) * 900], [[7.0, 5.0], [7.0, 5.0]]])]
+    df = spark.createDataFrame(rows, "g int, i int, y double, x double")
+    got = {(x["g"], x["i"]): x[2] for x in texture.nearest(df, "g", "i", "y", "x").collect()}
+    assert got[0, 1] == 3.0 and got[1, 1] == 0.0 and len(got) == len(rows)
+    for g, i, y, x in rows:
+        far = [np.hypot(y - v, x - w) for h, j, v, w in rows if h == g and j != i]
+        assert abs(got[g, i] - min(far, default=0.0)) < 1e-9
+
+
+def test_nearest_to_a_place(spark):
+    df = spark.createDataFrame([(10.0, 10.0), (13.0, 14.0), (2.0, 3.0), (float("nan"), 1.0), (float("inf"), 0.0), (None, 1.0)], "y double, x double")
+    one = lambda at, of=df: texture.nearest_to(of, "y", "x", at).first()[0]
+    assert one((10, 13)) == 3.0 and one((float("nan"), 0)) == 0.0 and one((1, 1), df.limit(0)) == 0.0
 
 
 def test_hog_of_blank_patch_is_zero(spark):

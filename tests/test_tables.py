@@ -53,8 +53,9 @@ def test_hull_area():
 
 
 def test_convex_and_centroids(spark):
-    px = spark.createDataFrame([(0, 1, r, c) for r, c in ((0, 0), (1, 0), (2, 0), (2, 1), (2, 2))], "tile int, label int, row int, col int")
-    r = hull.convex(px).first()
+    inside = ((0, 0), (1, 0), (2, 0), (2, 1), (2, 2))
+    px = spark.createDataFrame([(0, int((r, c) in inside), r, c, 1, 2, 3) for r in range(3) for c in range(3)], "tile int, label int, row int, col int, r int, g int, b int")
+    r = hull.convex(px, 3).first()
     assert (r["convex_area"], r["solidity"], r["convexity"]) == (6.0, 5 / 6, 6 / 5)
     a = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 0.0, 1.0), (1, 1, 0.0, 0.0)], "g int, id int, row double, col double")
     b = spark.createDataFrame([(0, 7, 0.0, 0.9), (0, 8, 0.0, 5.0)], "g int, id int, row double, col double")
