@@ -51,7 +51,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
 
     Returns page_id, host, path, rule, verdict, canonical and listed. ``listed`` has a column url;
     nulls in it and URLs without ``://`` are ignored, as is a page url without ``://``, which is
-    allowed. Repeated rows are judged each for itself; an empty list blocks nothing.
+    allowed. Repeated rows are judged each for itself; other columns are ignored, whatever their
+    names; an empty list blocks nothing, and an empty table gives no rows. Of rules as long as each
+    other the first by name wins.
     """
     u = F.col("_u")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_u")).select("page_id", "_u", host_of(u).alias("host"), path_of(u).alias("path"))
