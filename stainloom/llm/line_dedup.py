@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import cut, join_counted, maybe_in, stored, text_of, words_of
+from stainloom.llm.common import SPACE, cut, join_counted, maybe_in, stored, text_of, words_of
 
 #: Words of the shortest line whose letters are words.
 WORDS = 5
@@ -30,8 +30,9 @@ def _key(words: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no (from 0), words of every line that has any."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.split(text_of(text_col), "\n", -1).alias("_l"))
-    rows = rows.select("doc_id", F.posexplode("_l").alias("line_no", "_x"))
-    return rows.select("doc_id", "line_no", words_of(F.col("_x")).alias("words")).filter(F.size("words") > 0)
+    # A plain search tells lines with words, as a filter on the words would split every line twice.
+    rows = rows.select("doc_id", F.posexplode("_l").alias("line_no", "_x")).filter(F.col("_x").rlike(f"[^{SPACE}]"))
+    return rows.select("doc_id", "line_no", words_of(F.col("_x")).alias("words"))
 
 
 def _letters(words: Column) -> Column:
