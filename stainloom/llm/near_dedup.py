@@ -40,6 +40,8 @@ CLUSTER = LEAF
 LEVELS = 3
 #: Ways, by coordinates of their own, that a node is branched at a level.
 REPEATS = 2
+#: Edges of a task, on average, where components are found.
+EDGES = 4096
 #: Words of a task's cache of hashes; a memory bound, without effect on the results.
 CACHE = 200_000
 
@@ -278,15 +280,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     n, seen = e.count(), None
     for _ in range(max_rounds):
         hot = max(1000, 2 * n // 1000)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Tasks of EDGES edges: more would leave more files than data on the executors' disks.
+        few = lambda df, k=max(1, -(-n // EDGES)): df.coalesce(k)
+        both = few(e)
+        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("m", "a"))
         # The hub of a large star is joined by broadcast, so its edges stay where they are.
-        large = join_counted(both, low, "a", "c", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = join_counted(both, low, "a", "c", hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = few(few(large).distinct())
         # Every edge now goes from its larger end to a smaller one.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = join_counted(down, low, "a", "c", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(few(few(small.unionByName(low.select("a", F.col("m").alias("b")))).distinct()))
         n, total = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if (n, total) == seen:
             return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
