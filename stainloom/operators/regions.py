@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PADDING = 10
+#: Pixels of a row that are held together.
+STRIP = 64
+KEYS, SPAN = ["tile", "label"], ["pr0", "pc0", "pr1", "pc1"]
 
 
 def boxes(pixels: DataFrame, side: int, padding: int = PADDING) -> DataFrame:
@@ -25,11 +28,27 @@ def places(boxes: DataFrame) -> DataFrame:
     return b.select("*", line("pc0", "pc1").alias("col"))
 
 
-def patches(pixels: DataFrame, side: int, padding: int = PADDING) -> DataFrame:
-    """Pixels of each padded patch: tile, label, row, col, inside, v (grey level, 0 outside), r, g, b.
+def cut(pixels: DataFrame, boxes: DataFrame, values: list[str]) -> DataFrame:
+    """Pixels of each padded box: tile, label, pr0, pc0, pr1, pc1, row, col, at (the pixel's own label) and values.
 
-    Boxes are spread to their places first, so a tile with many nuclei makes no more rows than its patches have pixels.
+    Strips of a row's pixels meet the boxes that reach them, so neither all pixels of a tile meet all its nuclei
+    nor is each pixel a row of the join. The size that is estimated for pixels made from keys is that of the keys,
+    so the join is told to sort; broadcast, the pixels would have to fit into the driver. What comes out lies by nucleus.
     """
-    j = pixels.withColumnRenamed("label", "at").join(places(boxes(pixels, side, padding)), ["tile", "row", "col"])
+    strip = lambda c: F.floor(F.col(c) / STRIP).cast("int")
+    held = pixels.groupBy("tile", "row", strip("col").alias("strip")).agg(F.collect_list(F.struct("col", F.col("label").alias("at"), *values)).alias("cells"))
+    b = boxes.select(*KEYS, *SPAN, F.explode(F.sequence("pr0", "pr1")).alias("row"))
+    b = b.select("*", F.explode(F.sequence(strip("pc0"), strip("pc1"))).alias("strip"))
+    met = b.hint("merge").join(held, ["tile", "row", "strip"])
+    met = met.select(*KEYS, *SPAN, "row", F.filter("cells", lambda x: x["col"].between(F.col("pc0"), F.col("pc1"))).alias("cells"))
+    return met.repartition(*KEYS).select(*KEYS, *SPAN, "row", F.inline("cells"))
+
+
+def patches(pixels: DataFrame, side: int, padding: int = PADDING, values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Pixels of each padded patch: tile, label, row, col, inside, v (grey level, 0 outside), values, and the patch's ends.
+
+    Lies by tile and label, so windows and sums of nuclei move nothing. Texture needs no values.
+    """
+    j = cut(pixels, boxes(pixels, side, padding), ["gray", *values])
     inside = F.col("at") == F.col("label")
-    return j.select("tile", "label", "row", "col", inside.alias("inside"), F.when(inside, F.col("gray")).otherwise(0).alias("v"), "r", "g", "b", "pr0", "pc0", "pr1", "pc1")
+    return j.select(*KEYS, "row", "col", inside.alias("inside"), F.when(inside, F.col("gray")).otherwise(0).alias("v"), *values, *SPAN)

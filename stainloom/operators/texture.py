@@ -20,7 +20,7 @@ def glcm(patch: DataFrame, angles=tuple(OFFSETS), guard: float = 1e-16) -> DataF
     Neighbours come from lead() along rows, columns and diagonals rather than joins, and pairs are
     counted before they are made symmetric. Nuclei with fewer than two non-zero levels get zeros.
     """
-    p = patch.select(*KEYS, "row", "col", "v", (F.col("row") - F.col("col")).alias("d"), (F.col("row") + F.col("col")).alias("s")).repartition(*KEYS)
+    p = patch.select(*KEYS, "row", "col", "v", (F.col("row") - F.col("col")).alias("d"), (F.col("row") + F.col("col")).alias("s"))
     by = {a: Window.partitionBy(*KEYS, *OFFSETS[a]).orderBy("col" if a == 0 else "row") for a in angles}
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lead("v").over(by[a]).alias("j")) for a in angles])
     pairs = p.select(*KEYS, F.col("v").alias("i"), near.alias("near")).select(*KEYS, "i", F.explode("near").alias("x")).select(*KEYS, "x.a", "i", "x.j").filter("j is not null")
@@ -46,7 +46,7 @@ def glcm(patch: DataFrame, angles=tuple(OFFSETS), guard: float = 1e-16) -> DataF
     t = t.select(*KEYS, *[mean(c).alias(c) for c in values])
     levels = patch.filter("v > 0").groupBy(*KEYS).agg(F.count_distinct("v").alias("levels"))
     names = [c for c in t.columns if c not in KEYS]
-    t = t.join(levels, KEYS, "left")
+    t = t.join(levels.hint("merge"), KEYS, "left")
     return t.select(*KEYS, *[F.when(F.col("levels") >= 2, F.col(c)).otherwise(0.0).alias(c) for c in names])
 
 

@@ -179,7 +179,7 @@ SELECT tile, label, {", ".join(f"CASE WHEN any_value(k) >= 2 THEN round(({' + '.
 FROM mu LEFT JOIN lv USING (tile, label) GROUP BY ALL""",
 )
 def glcm_props(spark, sf_dir):
-    return rounded(texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE)), digits=9)
+    return rounded(texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE, values=())), digits=9)
 
 
 @query(

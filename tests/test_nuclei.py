@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -104,3 +105,33 @@ def test_queries_match_sql(spark):
         cur = con.execute(registry.SQL[name])
         at = [[x[0] for x in cur.description].index(c) for c in cols]
         assert sorted(tuple(r[i] for i in at) for r in cur.fetchall()) == sorted(tuple(r[c] for c in cols) for r in df.collect()), name
+
+
+#: Queries that join pixels, or did.
+PIXELS = ["glcm_props"]
+
+
+@pytest.mark.parametrize("name", PIXELS)
+def test_pixels_are_not_broadcast(spark, name):
+    """Tiles are made from keys, so their table is far smaller than their pixels; the driver never holds those."""
+    from stainloom.plans import registry, tables  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    assert "Broadcast" not in registry.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patches_across_strips(spark):
+    """Boxes that begin and end anywhere in a row of several strips get each of their pixels once."""
+    side, boxes = 150, {1: (60, 70), 2: (0, 3), 3: (120, 139), 4: (63, 64)}
+    rows = [(r, c, k, c) for k, (a, b) in boxes.items() for r in (2 * k, 2 * k + 1) for c in range(a, b)]
+    got = regions.patches(pixels(spark, rows, side), side, 5, values=()).select("label", "row", "col", "inside", "v").collect()
+    at = {(r, c): (k, v) for r, c, k, v in rows}
+    want = set()
+    for k, (a, b) in boxes.items():
+        for r in range(max(2 * k - 5, 0), 2 * k + 7):
+            for c in range(max(a - 5, 0), min(b + 5, side)):
+                own = at.get((r, c), (0, 0))
+                want.add((k, r, c, own[0] == k, own[1] if own[0] == k else 0))
+    assert len(got) == len(want) and set(map(tuple, got)) == want
