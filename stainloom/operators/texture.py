@@ -85,28 +85,27 @@ def lbp(patch: DataFrame) -> DataFrame:
 
 def hog(patch: DataFrame) -> DataFrame:
     """Mean, deviation, largest and smallest value of an oriented-gradient descriptor: 8 bins, 8x8 cells, clipped twice-normalised cells."""
-    p = patch.repartition(*KEYS)
     w = lambda by, order: Window.partitionBy(*KEYS, by).orderBy(order)
     step = lambda win: F.coalesce(F.lead("v").over(win) - F.lag("v").over(win), F.lit(0)).cast("double")
-    p = p.select(*KEYS, "row", "col", "pr0", "pc0", "pr1", "pc1", step(w("row", "col")).alias("gx"), step(w("col", "row")).alias("gy"))
+    p = patch.select(*KEYS, "row", "col", "pr0", "pc0", "pr1", "pc1", step(w("row", "col")).alias("gx"), step(w("col", "row")).alias("gy"))
     turn = F.degrees(F.atan2("gy", "gx"))
     turn = F.when(turn < 0, turn + 180).otherwise(turn)
     turn = F.when(turn >= 180, turn - 180).otherwise(turn)
     rows, cols = F.floor((F.col("pr1") - F.col("pr0") + 1) / 8), F.floor((F.col("pc1") - F.col("pc0") + 1) / 8)
     p = p.select(*KEYS, rows.alias("nr"), cols.alias("nc"), F.floor((F.col("row") - F.col("pr0")) / 8).alias("cr"), F.floor((F.col("col") - F.col("pc0")) / 8).alias("cc"), F.floor(F.round(turn, 9) / 22.5).alias("bin"), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("mag"))
-    p = p.filter((F.col("cr") < F.col("nr")) & (F.col("cc") < F.col("nc")))
     sums = [F.sum(F.when(F.col("bin") == k, F.col("mag")).otherwise(0.0)) / 64 for k in range(8)]
-    cells = p.groupBy(*KEYS, "cr", "cc").agg(F.array(*sums).alias("h"))
+    # Cells that aren't whole have no values, and nuclei of no whole cell zeros.
+    whole = (F.col("cr") < F.first("nr")) & (F.col("cc") < F.first("nc"))
+    cells = p.groupBy(*KEYS, "cr", "cc").agg(F.when(whole, F.array(*sums)).alias("h"))
 
     def unit(a):
         total = F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)
         return F.transform(a, lambda x: x / F.sqrt(total + 1e-10))
 
     cells = cells.withColumn("h", unit(F.col("h"))).withColumn("h", F.transform("h", lambda x: F.least(x, F.lit(0.2)))).withColumn("h", unit(F.col("h")))
-    v = cells.select(*KEYS, F.explode("h").alias("x"))
+    v = cells.select(*KEYS, F.explode_outer("h").alias("x"))
     v = v.groupBy(*KEYS).agg(F.avg("x").alias("hog_mean"), F.stddev_pop("x").alias("hog_std"), F.max("x").alias("hog_max"), F.min("x").alias("hog_min"))
-    # Patches of no whole cell have zeros.
-    return patch.select(*KEYS).distinct().join(v, KEYS, "left").fillna(0.0, [c for c in v.columns if c not in KEYS])
+    return v.fillna(0.0, [c for c in v.columns if c not in KEYS])
 
 
 def stains(pixels: DataFrame) -> DataFrame:

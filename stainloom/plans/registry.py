@@ -261,7 +261,7 @@ h2 AS (SELECT *, g/sqrt(sum(g*g) OVER (PARTITION BY tile, label, cr, cc) + 1e-10
 SELECT b.tile, b.label, {", ".join(f"coalesce(round({f}(x),6)+0.0, 0.0) AS hog_{n}" for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("max", "max"), ("min", "min")))} FROM box b LEFT JOIN h2 USING (tile, label) GROUP BY ALL""",
 )
 def hog_summary(spark, sf_dir):
-    return rounded(texture.hog(regions.patches(tiles(spark, sf_dir), SIDE)))
+    return rounded(texture.hog(regions.patches(tiles(spark, sf_dir), SIDE, values=())))
 
 
 def tile_rows(spark, sf_dir):

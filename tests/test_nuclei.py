@@ -108,7 +108,7 @@ def test_queries_match_sql(spark):
 
 
 #: Queries that join pixels, or did.
-PIXELS = ["glcm_props"]
+PIXELS = ["glcm_props", "hog_summary"]
 
 
 @pytest.mark.parametrize("name", PIXELS)
@@ -135,3 +135,12 @@ def test_patches_across_strips(spark):
                 own = at.get((r, c), (0, 0))
                 want.add((k, r, c, own[0] == k, own[1] if own[0] == k else 0))
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_hog_cells(spark):
+    """Only whole cells count, and a patch of none has zeros."""
+    p = pixels(spark, square(0, 1, 0, 1) + square(6, 8, 6, 8, 2), 16)
+    got = {r["label"]: r for r in texture.hog(regions.patches(p, 16, 0, values=())).collect()}
+    assert list(got[1])[2:] == [0.0] * 4 and list(got[2])[2:] == [0.0] * 4
+    got = texture.hog(regions.patches(p, 16, 7, values=())).orderBy("label").collect()
+    assert [r["label"] for r in got] == [1, 2] and all(r["hog_max"] > 0 for r in got)
