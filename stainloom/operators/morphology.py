@@ -119,8 +119,12 @@ def hu_of_mask(pixels: DataFrame, side: int) -> DataFrame:
 
 
 def hu_moments(pixels: DataFrame) -> DataFrame:
-    """True Hu invariants of each nucleus: moments about its centroid, scaled by its area."""
-    c = pixels.filter("label > 0").join(centroids(pixels), KEYS)
+    """True Hu invariants of each nucleus: moments about its centroid, scaled by its area.
+
+    Centroids come from a window over the nucleus, so its pixels are moved once and nothing is joined.
+    """
+    w = Window.partitionBy(*KEYS)
+    c = pixels.filter("label > 0").select(*KEYS, "row", "col", F.count("*").over(w).cast("double").alias("area"), F.avg("row").over(w).alias("centroid_row"), F.avg("col").over(w).alias("centroid_col"))
     y, x = F.col("row") - F.col("centroid_row"), F.col("col") - F.col("centroid_col")
     mu = lambda k: F.sum(F.pow(x, F.lit(int(k[0]))) * F.pow(y, F.lit(int(k[1])))).alias(f"m{k}")
     names = ("20", "02", "11", "30", "03", "12", "21")
