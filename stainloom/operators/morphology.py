@@ -105,14 +105,13 @@ def hu_of_mask(pixels: DataFrame, side: int) -> DataFrame:
     They vanish unless the patch's first pixel is in the nucleus, for areas of ten or less and for
     patches with a side of less than four pixels.
     """
-    from stainloom.operators.regions import boxes
+    from stainloom.operators.regions import PADDING
 
-    b = boxes(pixels, side)
-    large = (F.col("pr1") - F.col("pr0") >= 3) & (F.col("pc1") - F.col("pc0") >= 3)
-    p = pixels.filter("label > 0").join(b.select(*KEYS, "pr0", "pc0", "area", large.alias("large")), KEYS)
-    p = p.withColumns({"p": F.col("row") - F.col("pr0"), "q": F.col("col") - F.col("pc0")})
-    has = lambda k: F.max(((F.col("p") == int(k[0])) & (F.col("q") == int(k[1]))).cast("double")).alias(f"m{k}")
-    m = p.groupBy(*KEYS, "area", "large").agg(*map(has, ("00", "20", "02", "11", "30", "03", "12", "21")))
+    # A patch that begins at r0 - PADDING has no pixel of the nucleus in its first rows, and any other begins at 0;
+    # so pixels near the tile's corner are those near the patch's, and one aggregation does.
+    has = lambda k: F.max(((F.col("row") == int(k[0])) & (F.col("col") == int(k[1]))).cast("double")).alias(f"m{k}")
+    long = lambda c: F.least(F.max(c) + PADDING, F.lit(side - 1)) - F.greatest(F.min(c) - PADDING, F.lit(0)) >= 3
+    m = pixels.filter("label > 0").groupBy(*KEYS).agg(F.count("*").alias("area"), (long("row") & long("col")).alias("large"), *map(has, ("00", "20", "02", "11", "30", "03", "12", "21")))
     hu = hu_from({k: F.col(f"m{k}") for k in ("20", "02", "11", "30", "03", "12", "21")})
     ok = F.col("large") & (F.col("m00") == 1) & (F.col("area") > 10)
     return m.select(*KEYS, *[F.when(ok, h).otherwise(0.0).alias(f"hu_moment_{i}") for i, h in enumerate(hu, 1)])

@@ -108,7 +108,7 @@ def test_queries_match_sql(spark):
 
 
 #: Queries that join pixels, or did.
-PIXELS = ["glcm_props", "hog_summary", "hu_true"]
+PIXELS = ["glcm_props", "hog_summary", "hu_true", "hu_pipeline"]
 
 
 @pytest.mark.parametrize("name", PIXELS)
@@ -144,3 +144,11 @@ def test_hog_cells(spark):
     assert list(got[1])[2:] == [0.0] * 4 and list(got[2])[2:] == [0.0] * 4
     got = texture.hog(regions.patches(p, 16, 7, values=())).orderBy("label").collect()
     assert [r["label"] for r in got] == [1, 2] and all(r["hog_max"] > 0 for r in got)
+
+
+def test_hu_of_mask_away_from_the_corner(spark):
+    """The moments are pixels of the patch; they vanish where the patch does not begin in the nucleus."""
+    got = morphology.hu_of_mask(pixels(spark, square(0, 4, 0, 4) + square(11, 16, 0, 5, 2) + square(5, 9, 8, 12, 3)), 16)
+    rows = {r["label"]: list(r)[2:] for r in got.collect()}
+    want = [float(x) for x in morphology.hu_from(dict.fromkeys(("20", "02", "11", "30", "03", "12", "21"), 1.0))]
+    assert rows == {1: want, 2: [0.0] * 7, 3: [0.0] * 7}
