@@ -189,7 +189,7 @@ def glcm_props(spark, sf_dir):
 FROM mu LEFT JOIN lv USING (tile, label)""",
 )
 def glcm_0deg(spark, sf_dir):
-    g = texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE), angles=(0,), guard=1e-24)
+    g = texture.glcm(regions.patches(tiles(spark, sf_dir), SIDE, values=()), angles=(0,), guard=1e-24)
     return rounded(g.select("tile", "label", *[F.col(f"glcm_{c}").alias(c) for c in ("contrast", "correlation", "energy", "homogeneity")]), digits=9)
 
 
