@@ -59,8 +59,7 @@ def lbp(patch: DataFrame) -> DataFrame:
     w = lambda *by: Window.partitionBy(*KEYS, *by)
     d, s = F.col("row") - F.col("col"), F.col("row") + F.col("col")
     at = lambda win, order, f: F.coalesce(f("v").over(win.orderBy(order)), F.lit(0)).cast("double")
-    p = patch.repartition(*KEYS)
-    p = p.select(
+    p = patch.select(
         *KEYS, "inside", F.col("v").cast("double").alias("v"),
         at(w("row"), "col", F.lead).alias("e"), at(w("row"), "col", F.lag).alias("w"), at(w("col"), "row", F.lag).alias("n"), at(w("col"), "row", F.lead).alias("s"),
         at(w(d), "row", F.lag).alias("nw"), at(w(d), "row", F.lead).alias("se"), at(w(s), "row", F.lag).alias("ne"), at(w(s), "row", F.lead).alias("sw"),

@@ -244,7 +244,7 @@ SELECT tile, label, CASE WHEN max(top) > 0 THEN round(sum(f*code),6)+0.0 ELSE 0.
   CASE WHEN max(top) > 0 THEN round(-sum(f*log2(f)),6)+0.0 ELSE 0.0 END AS lbp_entropy FROM fr GROUP BY ALL""",
 )
 def lbp_stats(spark, sf_dir):
-    return rounded(texture.lbp(regions.patches(tiles(spark, sf_dir), SIDE)))
+    return rounded(texture.lbp(regions.patches(tiles(spark, sf_dir), SIDE, values=())))
 
 
 @query(
