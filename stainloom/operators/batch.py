@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stainloom.operators.regions import places
+from stainloom.operators.regions import cut
 
 #: Suffixes of image files. Fixed values.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
@@ -71,7 +71,7 @@ def finite(value: str) -> Column:
 
 def crops(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pixels of each padded box; black outside the nucleus."""
-    j = pixels.withColumnRenamed("label", "at").join(places(boxes), ["tile", "row", "col"])
+    j = cut(pixels, boxes, ["r", "g", "b"])
     inside = F.col("at") == F.col("label")
     return j.select("tile", "label", (F.col("row") - F.col("pr0")).alias("row"), (F.col("col") - F.col("pc0")).alias("col"), *[F.when(inside, F.col(c)).otherwise(0).alias(c) for c in "rgb"])
 

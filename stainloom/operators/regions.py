@@ -21,13 +21,6 @@ def boxes(pixels: DataFrame, side: int, padding: int = PADDING) -> DataFrame:
     return b.withColumns({"pr0": low("r0"), "pc0": low("c0"), "pr1": high("r1"), "pc1": high("c1")})
 
 
-def places(boxes: DataFrame) -> DataFrame:
-    """A row for each pixel of each padded box, so that pixels meet boxes at their place and not all those of a tile."""
-    line = lambda a, b: F.explode(F.sequence(a, b))
-    b = boxes.select("tile", "label", "pr0", "pc0", "pr1", "pc1", line("pr0", "pr1").alias("row"))
-    return b.select("*", line("pc0", "pc1").alias("col"))
-
-
 def cut(pixels: DataFrame, boxes: DataFrame, values: list[str]) -> DataFrame:
     """Pixels of each padded box: tile, label, pr0, pc0, pr1, pc1, row, col, at (the pixel's own label) and values.
 

@@ -108,7 +108,7 @@ def test_queries_match_sql(spark):
 
 
 #: Queries that join pixels, or did.
-PIXELS = ["glcm_props", "hog_summary", "hu_true", "hu_pipeline", "glcm_0deg", "lbp_stats"]
+PIXELS = ["glcm_props", "hog_summary", "hu_true", "hu_pipeline", "glcm_0deg", "lbp_stats", "masked_crop_pixels"]
 
 
 @pytest.mark.parametrize("name", PIXELS)
