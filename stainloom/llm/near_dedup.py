@@ -42,6 +42,8 @@ LEVELS = 3
 REPEATS = 2
 #: Edges of a task, on average, where components are found.
 EDGES = 4096
+#: Edges of a graph that one task settles, 1 MB of them whatever the input is; a larger one takes rounds until it has no more.
+SMALL = 1 << 16
 #: Words of a task's cache of hashes; a memory bound, without effect on the results.
 CACHE = 200_000
 
@@ -270,15 +272,37 @@ def _sets(k: int):
     return run
 
 
+def _settled(batches):
+    """(id, component) of the edges of a whole graph, but for rows of that id itself."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    ids = list(up)
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each end of a link (a, b) reaches, but for rows of that id itself.
 
     Alternating large and small stars, which need a logarithmic number of rounds; every step is an
-    aggregate and a join, and nothing is gathered on the driver but a count.
+    aggregate and a join, and nothing is gathered on the driver but a count. A graph of SMALL edges
+    at most needs no rounds, whose many plans and tasks fill the driver's memory.
     """
     e = cut(links.select("a", "b").filter("a <> b").distinct())
     n, seen = e.count(), None
     for _ in range(max_rounds):
+        if n <= SMALL:
+            return e.coalesce(1).mapInArrow(_settled, "id long, component long")
         hot = max(1000, 2 * n // 1000)
         # Tasks of EDGES edges: more would leave more files than data on the executors' disks.
         few = lambda df, k=max(1, -(-n // EDGES)): df.coalesce(k)

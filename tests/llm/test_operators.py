@@ -169,6 +169,29 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {200: 100} or got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
 
 
+def test_components_of_small_graphs_take_one_task(spark, monkeypatch):
+    """A small graph starts few jobs; rounds of stars and a plain search find the same components."""
+    import random
+
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(230)]
+    lowest = {x: x for e in edges for x in e}
+    for _ in lowest:
+        for a, b in edges:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    want = {k: v for k, v in lowest.items() if k != v}
+    links = spark.createDataFrame(edges, "a long, b long")
+    found = lambda: {r["id"]: r["component"] for r in components(links).collect() if r["id"] != r["component"]}
+    spark.sparkContext.setJobGroup("small graph", "components")
+    try:
+        assert found() == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small graph")) <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr("stainloom.llm.near_dedup.SMALL", 0)
+    assert found() == want
+
+
 def test_lines(spark, empty):
     a = "one two three four five six"
     rows = [(1, f"{a}\nshort\n\n{a}"), (2, "one two three four five SIX\nshort\nnew one two three four five six"), (3, "six five four three two one"), (4, None), (5, a.replace(" four", ""))]
