@@ -34,7 +34,8 @@ def cut(pixels: DataFrame, boxes: DataFrame, values: list[str]) -> DataFrame:
     b = b.select("*", F.explode(F.sequence(strip("pc0"), strip("pc1"))).alias("strip"))
     met = b.hint("merge").join(held, ["tile", "row", "strip"])
     met = met.select(*KEYS, *SPAN, "row", F.filter("cells", lambda x: x["col"].between(F.col("pc0"), F.col("pc1"))).alias("cells"))
-    return met.repartition(*KEYS).select(*KEYS, *SPAN, "row", F.inline("cells"))
+    # Not inline(): the test for empty strips that Spark infers from it would become a condition of the join.
+    return met.repartition(*KEYS).select(*KEYS, *SPAN, "row", F.inline_outer("cells")).filter("col is not null")
 
 
 def patches(pixels: DataFrame, side: int, padding: int = PADDING, values: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
