@@ -12,6 +12,7 @@ into powers of two, so that nothing is padded.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import stored, text_of
+from stainloom.llm.common import lean, stored, text_of
 
 SHARD_DOCS, SHARD_TOKENS = 2048, 3_000_000
 #: Tokens of a task's range of places, on average.
@@ -31,12 +32,22 @@ DRAWS = 3
 #: Terms of a shard that are scored by a dense matrix; the others are by their postings.
 DENSE = 512
 K1, B = 1.2, 0.75
-#: Words in a generation of a worker's cache, and bytes of texts that are tokenised at once; memory
-#: bounds, without effect on the results.
-CACHE, CHUNK = 250_000, 1 << 23
+#: Words in a worker's cache, bytes of a word in it, and bytes of texts that are tokenised at once;
+#: memory bounds, without effect on the results.
+CACHE, LONG, CHUNK = 400_000, 40, 1 << 23
 _held: dict[int, Words] = {}
 
 
+def _ranks(*masks: pa.Array) -> pa.Array:
+    """Where each row is when the rows of the first mask come first, then those of the second, and so on."""
+    out, n = np.zeros(len(masks[0]), np.int64), 0
+    for mask in masks:
+        at = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+        out[at] = n + np.arange(len(at))
+        n += len(at)
+    return pa.array(out)
+
+
 class Words:
     """Ids of texts by a tokenizer that splits at white space, kept by word.
 
@@ -44,13 +55,18 @@ class Words:
     tokenizer's splitter parts from letters, are parted before the words are. Words are numbered by
     a hash table over many texts and only the different ones looked up. New words of letters alone
     go to the tokenizer's model many at a time, without the steps that leave them as they are, and
-    the ids are parted again at the ends of words; other words take the whole way, parted by a mark
-    between them. The cache has two generations: words that the younger one has not used are
-    forgotten when it is full.
+    the ids are parted again at the ends of words. Words of letters, digits and ASCII marks are put
+    together from their runs; other words take the whole way, parted by a mark between them. Words
+    and their ids stay in Arrow's arrays, also in the cache, which forgets those that have not been
+    used for the longest time.
     """
 
-    plain = re.compile("[a-zß-öø-ÿ]+")
-    simple = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
+    plain = "^[a-zß-öø-ÿ]+$"
+    #: Without the apostrophe, which can be a part of what follows, and what begins special tokens.
+    mixed = re.compile("[a-zß-öø-ÿ0-9!-&(-/:;=-@[-`{-~]+")
+    runs = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@[-`{-~]+")
+    #: Latin letters; no white space beyond ASCII.
+    simple = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]*")
     odd = re.compile("[\x1c-\x1f]")  # white space to Python alone
     #: A full stop or comma after another mark, which makes one token with it.
     joined = re.compile("[^a-z0-9\xe0-\xf6\xf8-\u024f\\s][.,]\\s")
@@ -59,7 +75,8 @@ class Words:
     def __init__(self, source: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.young, self.old = Tokenizer.from_str(source), {}, {}
+        self.tok = Tokenizer.from_str(source)
+        self.old, self.old_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -68,69 +85,122 @@ class Words:
         mark = self.encoded(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.bare = Tokenizer(self.tok.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _parted(self, words: list[str], between: str, encoded) -> None:
-        """Learns words from the ids of all of them in one text."""
-        wide = self.kind.itemsize
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = encoded(between.join(part))
-            is_end = self.last[ids] if between == " " else np.append(ids == self.mark, True)
-            ends = np.flatnonzero(is_end)
-            if len(ends) != len(part):  # not a tokenizer with ends of words
-                self.young.update(zip(part, [self.encoded(w).tobytes() for w in part], strict=True))
-                continue
-            raw, skip = ids.tobytes(), 0 if between == " " else 1
-            stops = (ends + 1 - skip) * wide
-            starts = np.append(0, stops[:-1] + skip * wide)
-            self.young.update(zip(part, [raw[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], strict=True))
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.old]
-        if len(new) < len(words):
-            self.young.update((w, self.old[w]) for w in set(words).difference(new))
-        plain = list(filter(self.plain.fullmatch, new))
-        self._parted(plain, " ", lambda t: np.array(self.bare.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.kind))
-        other = set(new).difference(plain, [""])
-        safe = [] if self.mark is None else [w for w in other if self.MARK not in w and "<|" not in w]
-        self._parted(safe, f" {self.MARK} ", self.encoded)
-        self.young.update((w, self.encoded(w).tobytes()) for w in other.difference(safe))
-        self.young[""] = b""
+    def _bare(self, text: str) -> np.ndarray:
+        """Ids of words of plain letters, whose bytes stand for themselves in the model, but for three."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _parted(self, texts: list[str], counts: list[int], between: str, encoded) -> pa.Array | None:
+        """Ids of each of the words in texts, which have so many each; none if words have no ends."""
+        out, sizes = [], []
+        for text, n in zip(texts, counts, strict=True):
+            ids = encoded(text)
+            if between == " ":
+                ends = np.flatnonzero(self.last[ids])
+            else:
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                ends -= np.arange(len(ends)) + 1
+                ids = ids[ids != self.mark]
+            if len(ends) != n or ends[-1] + 1 != len(ids):
+                return None
+            out.append(ids)
+            sizes.append(np.diff(ends, prepend=-1))
+        return self._array(np.concatenate([np.empty(0, self.kind), *out]), np.concatenate([np.empty(0, np.int64), *sizes]))
+
+    def _array(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        stops = np.append(0, np.cumsum(sizes * self.kind.itemsize)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(ids)])
+
+    def _each(self, words: list[str]) -> pa.Array:
+        return pa.array([self.encoded(w).tobytes() for w in words], pa.large_binary())
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """Ids of words of plain letters."""
+        at = np.append(np.arange(0, len(words), 1000), len(words))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids = self._parted(texts, np.diff(at).tolist(), " ", self._bare)
+        return self._each(words.to_pylist()) if ids is None else ids  # not a tokenizer with ends of words
+
+    def _whole(self, words: list[str]) -> pa.Array:
+        """Ids of any words, which need not be alike."""
+        safe = {} if self.mark is None else {w: k for k, w in enumerate(w for w in words if w and self.MARK not in w and "<|" not in w)}
+        parts = [list(safe)[k : k + 1000] for k in range(0, len(safe), 1000)]
+        ids = self._parted([f" {self.MARK} ".join(x) for x in parts], [len(x) for x in parts], self.MARK, self.encoded)
+        if ids is None:
+            return self._each(words)
+        rest = [w for w in words if w not in safe]
+        at = dict(zip(rest, range(len(safe), len(words)), strict=True)) | safe
+        return pa.concat_arrays([ids, self._each(rest)]).take(pa.array([at[w] for w in words], pa.int64()))
+
+    def learned(self, words: pa.Array) -> pa.Array:
+        """Ids of different words that are not in the cache."""
+        plain = pc.match_substring_regex(words, self.plain)
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        runs = [self.runs.findall(w) if self.mixed.fullmatch(w) else [w] for w in rest]
+        parts = pa.array(itertools.chain.from_iterable(runs), pa.large_string()).dictionary_encode()
+        # Runs of letters are looked up, or learned with the words of letters.
+        known = pc.index_in(parts.dictionary, value_set=self.old)
+        letters = pc.and_(pc.is_null(known), pc.match_substring_regex(parts.dictionary, self.plain))
+        other = pc.and_(pc.is_null(known), pc.invert(letters))
+        new = pa.concat_arrays([words.filter(plain), parts.dictionary.filter(letters)]).dictionary_encode()
+        n = pc.sum(plain, min_count=0).as_py()
+        ids = self._plain(new.dictionary).take(new.indices)
+        of_parts = pa.concat_arrays([self.old_ids.take(known.drop_null()), ids[n:], self._whole(parts.dictionary.filter(other).to_pylist())])
+        of_parts = of_parts.take(_ranks(known.is_valid(), letters, other)).take(parts.indices)
+        stops = np.append(0, np.cumsum([len(x) for x in runs])).astype(np.int64)
+        _, offsets, data = of_parts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[stops] if len(of_parts) else np.zeros(len(stops), np.int64)
+        joined = pa.Array.from_buffers(pa.large_binary(), len(rest), [None, pa.py_buffer(ends), data])
+        return pa.concat_arrays([ids[:n], joined]).take(_ranks(plain, pc.invert(plain)))
 
     def _readied(self, text: str) -> str | None:
-        """A text that white space parts into words; none where the tokenizer has to part it."""
+        """A text that ASCII white space parts into words; none where the tokenizer has to part it."""
         if not self.simple.fullmatch(text):
-            return None if self.odd.search(text) else text
+            return None if self.odd.search(text) else " ".join(text.split())
         low = text.lower() + " "
         if not self.joined.search(low):
             low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
         return low
 
+    def rows(self, texts: list[str], tail: bytes = b"") -> tuple[pa.Array, np.ndarray]:
+        """Little-endian ids of each text, of self.kind, with those of the tail; how often each id is there."""
+        ready = [self._readied(t) for t in texts]
+        odd = [k for k, x in enumerate(ready) if x is None]
+        words = pc.ascii_split_whitespace(pa.array([x or "" for x in ready], pa.large_string()))
+        del ready
+        ends = words.offsets.to_numpy()[1:].astype(np.int64)
+        words = words.flatten().dictionary_encode()
+        at, words = words.indices.to_numpy(), words.dictionary
+        known = pc.index_in(words, value_set=self.old)
+        is_new, places = pc.is_null(known), known.drop_null()
+        new = words.filter(is_new)
+        # Each text ends with the tail, or else with all its ids.
+        last = np.full(len(texts), len(words), at.dtype)
+        last[odd] = len(words) + 1 + np.arange(len(odd))
+        lasts = pa.array([tail, *(self.encoded(texts[k]).tobytes() + tail for k in odd)], pa.large_binary())
+        known_ids, new_ids = self.old_ids.take(places), self.learned(new)
+        pool = pa.concat_arrays([pa.concat_arrays([known_ids, new_ids]).take(_ranks(known.is_valid(), is_new)), lasts])
+        at = np.insert(at, ends, last)
+        sizes = pc.binary_length(pool).to_numpy() // self.kind.itemsize
+        times = np.repeat(np.bincount(at, minlength=len(pool)), sizes)
+        count = np.bincount(np.frombuffer(pool.buffers()[2] or b"", self.kind)[: len(times)], times, self.size).astype(np.int64)
+        # The cache: words of these texts first, then those that were not among them.
+        short, unused = pc.less_equal(pc.binary_length(new), LONG), np.ones(len(self.old), bool)
+        unused[places.to_numpy()] = False
+        self.old_ids = pa.concat_arrays([known_ids, new_ids.filter(short), self.old_ids.filter(pa.array(unused))])[:CACHE]
+        self.old = pa.concat_arrays([words.filter(known.is_valid()), new.filter(short), self.old.filter(pa.array(unused))])[:CACHE]
+        _, offsets, data = pool.take(pa.array(at)).buffers()
+        stops = np.frombuffer(offsets, np.int64)[1:][ends + np.arange(len(ends))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.append(0, stops).astype(np.int32)), data]), count
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of self.kind."""
-        ready = [self._readied(t) for t in texts]
-        words = pc.utf8_split_whitespace(pa.array([x or "" for x in ready], pa.large_string()))
-        counts = np.diff(words.offsets.to_numpy())
-        numbered = words.flatten().dictionary_encode()
-        unique = numbered.dictionary.to_pylist()
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young = self.young
-        self.learn([w for w in unique if w not in young])
-        each = [young[w] for w in unique]
-        pool = np.frombuffer(b"".join(each), self.kind)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
-        first = np.cumsum(size) - size
-        at = numbered.indices.to_numpy()
-        n = size[at]
-        stop = np.cumsum(n)
-        out = pool[np.repeat(first[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
-        ends = np.concatenate([[0], np.concatenate([[0], stop])[np.cumsum(counts)]]).tolist()
-        return [self.encoded(t).tobytes() if r is None else out[i:j].tobytes() for t, r, i, j in zip(texts, ready, ends[:-1], ends[1:], strict=True)]
+        return self.rows(texts)[0].to_pylist()
 
 
 def _tokenised(source, end_id: int):
@@ -151,9 +221,10 @@ def _tokenised(source, end_id: int):
             edges = np.flatnonzero(np.diff(sizes // CHUNK)) + 1
             for at, to in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
                 part = b.slice(at, to - at)
-                ids = [x + end for x in words.ids(part.column(1).to_pylist())]
-                count += np.bincount(np.frombuffer(b"".join(ids), words.kind), minlength=len(count))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "counts"])
+                ids, times = words.rows(part.column(1).to_pylist(), end)
+                count[: len(times)] += times
+                sizes = pc.divide(pc.binary_length(ids).cast(pa.int64()), words.kind.itemsize)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, sizes, pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "counts"])
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([count.tobytes()], pa.binary())], ["doc_id", "ids", "n", "counts"])
 
@@ -342,13 +413,13 @@ def placed(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
     source = spark.sparkContext.broadcast(tokenizer)
-    held = stored(rows.mapInArrow(_tokenised(source, end_id), f"doc_id {kind}, ids binary, n long, counts binary"), "ids")
+    held = stored(rows.mapInArrow(lean(_tokenised(source, end_id)), f"doc_id {kind}, ids binary, n long, counts binary"), "ids")
     tokens = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = held.filter("counts is not null").select("counts").mapInArrow(_summed, "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(1, np.int64)
     ids_kind = np.dtype("<u2" if len(counts) <= 1 << 16 else "<u4")
     draws = spark.sparkContext.broadcast(_draws(counts))
-    at = held.filter("ids is not null").select("doc_id", "ids").mapInArrow(_places(ids_kind, draws, end_id), f"doc_id {kind}, ids binary, place long")
+    at = held.filter("ids is not null").select("doc_id", "ids").mapInArrow(lean(_places(ids_kind, draws, end_id)), f"doc_id {kind}, ids binary, place long")
     return at, tokens, ids_kind
 
 
@@ -368,5 +439,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, id_co
     at, tokens, ids_kind = placed(docs, tokenizer, end_id, id_col, text_col)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_TOKENS))
     at = at.withColumn("salt", F.xxhash64("doc_id", "ids")).repartitionByRange(n, "place", "salt").sortWithinPartitions("place", "salt", "doc_id")
-    out = at.select("doc_id", "ids").mapInArrow(_packed(window, ids_kind), f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = at.select("doc_id", "ids").mapInArrow(lean(_packed(window, ids_kind)), f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out

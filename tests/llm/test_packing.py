@@ -1,4 +1,6 @@
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,3 +99,45 @@ def test_places_bring_related_documents_together(spark, source):
 def test_crc_of_pieces(docs, source):
     r = queries.pieces(pack(docs.filter("doc_id = 0"), source, 2)).first()
     assert r["ids_crc32"] == zlib.crc32(np.array([2], "<u4").tobytes()) and r["length"] == 1
+
+
+def test_only_marks_take_the_whole_way(source, monkeypatch):
+    """Words of letters and marks are put together from their runs, and equal the tokenizer's."""
+    w, whole = Words(source), []
+    texts = ["xyzzyq### (xyzzyq), xyzzyq xyzzyq7&&& ßyé***", "it's 'tis xyzzyq's a_b [c] 555-5481 <d> <|e é\u0301! x\xa0y\x85z x\x00y"]
+    r = np.random.RandomState(0)
+    texts += ["".join(r.choice(list("abéßÿZÀ019  \n\t.,!*#&$'<|>_-`~^\x01\x7f\x85\xa0\xad\u0301\u0130\u2003ﬁ字"), 60)) for _ in range(200)]
+    encoded = w.encoded
+    monkeypatch.setattr(w, "encoded", lambda t: whole.append(t) or encoded(t))
+    for part in (texts[:1], texts, texts[::-1]):
+        for t, ids in zip(part, w.ids(part), strict=True):
+            assert np.frombuffer(ids, w.kind).tolist() == w.tok.encode(t, add_special_tokens=False).ids
+        if part == texts[:1]:
+            assert "xyzzyq" not in " ".join(whole)
+    ids, count = w.rows(["a b", "", "a \x1c"], np.array([2], w.kind).tobytes())
+    every = np.concatenate([np.frombuffer(x, w.kind) for x in ids.to_pylist()])
+    assert count[2] == 3 and count.tolist() == np.bincount(every, minlength=w.size).tolist()
+
+
+def test_an_idle_worker_holds_little():
+    """What a worker holds after tasks with half a million different words."""
+    code = """
+import re, numpy as np, pyarrow as pa
+from types import SimpleNamespace
+from stainloom.llm import common, packing, queries
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+lean = getattr(common, "lean", lambda f: f)
+run = lean(packing._tokenised(SimpleNamespace(value=queries.tokenizer_source()), 2))
+def task(seed, n):
+    r = np.random.RandomState(seed)
+    texts = [" ".join("".join(map(chr, x)) for x in r.randint(97, 123, (1000, 9))) for _ in range(n)]
+    for b in run(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], ["doc_id", "text"])])):
+        pass
+task(0, 1)
+at = held()
+for seed in (1, 2):
+    task(seed, 250)
+print("MB", held() - at)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert float(out.stdout.split("MB")[1]) < 60
