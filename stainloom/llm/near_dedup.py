@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stainloom.llm.common import cut, join_counted, stored, text_of
+from stainloom.llm.common import cut, join_counted, lean, stored, text_of
 
 TREES = 12
 COORDS = 128
@@ -346,7 +346,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    feats = stored(rows.withColumn("th", F.xxhash64("t")).mapInArrow(_features(shingle), "doc_id long, th long, n long, fp binary, sig binary, keys array<long>"), "features")
+    feats = stored(rows.withColumn("th", F.xxhash64("t")).mapInArrow(lean(_features(shingle)), "doc_id long, th long, n long, fp binary, sig binary, keys array<long>"), "features")
     some = feats.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     reps = cut(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("n", "keys", "sig"), "th").alias("r")).select("doc_id", "r.n", "r.keys", "r.sig"))
@@ -383,15 +383,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = F.when(F.col("m").isNull(), F.array("key")).otherwise(_block_pairs(F.col("key"), F.col("doc_id"), F.col("m"), hot))
         spread = spread.join(F.broadcast(over), "key", "left").withColumn("key", F.explode(keys))
     spread = spread.repartition("key").sortWithinPartitions("key").select("key", "doc_id", "n", "sig")
-    found = stored(spread.mapInArrow(_edges, "key long, a long, b long"), "edges")
+    found = stored(spread.mapInArrow(lean(_edges), "key long, a long, b long"), "edges")
 
     pairs = found.select("a", "b").distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = rows.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    sets = stored(texts.mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
+    sets = stored(texts.mapInArrow(lean(_sets(shingle)), "doc_id long, set binary"), "sets")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-    tried = cut(met.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
+    tried = cut(met.mapInArrow(lean(_confirm(percent)), "a long, b long, ok boolean"))
     links = tried.filter("ok").select("a", "b")
     parts = cut(components(links))
     failed = tried.filter("not ok").select("a", "b")
@@ -410,10 +410,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # All pairs of members of a larger cluster meet as members of two of its blocks.
             key = F.explode(_block_pairs(F.col("cluster"), F.col("doc_id"), F.col("size"), CLUSTER)).alias("key")
             again = wide.join(reps, "doc_id").select(key, "doc_id", "n", "comp", "sig")
-            again = again.repartition("key").sortWithinPartitions("key").mapInArrow(_members, "leaf long, doc_id long, n long, comp long, sig binary")
+            again = again.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_members), "leaf long, doc_id long, n long, comp long, sig binary")
             whole = whole.unionByName(stored(again, "members"))
         met = whole.join(sets, "doc_id").select("leaf", "doc_id", "n", "comp", "sig", "set")
-        bridges = cut(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_bridges(percent), "a long, b long"))
+        bridges = cut(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(lean(_bridges(percent)), "a long, b long"))
         if not bridges.isEmpty():
             parts = cut(components(links.unionByName(bridges)))
     # Classes to components, then every row by its set. Large classes are joined by broadcast.
